@@ -7,12 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.llm.shared import slices, utf8
-from lexivane.llm.wordhash import ALNUM, Words, mix, words
+from lexivane.llm.shared import slices
+from lexivane.llm.wordhash import ALNUM, Words, mix, normal_words, spaced, words
 
 #: A match of this many words is a leak.
 MAX_WORDS = 10
@@ -25,23 +24,6 @@ _NONE = 1 << 62
 LEAKS = "doc_id bigint, item_ids array<bigint>, n_spans bigint, removed_words bigint, longest_match bigint, text string"
 
 
-def spaced(buf: np.ndarray) -> np.ndarray:
-    """The bytes with Unicode's general punctuation, its spaces and Latin-1's signs made blank."""
-    buf = buf.copy()
-    at = np.flatnonzero(buf[:-1] == 0xC2)
-    at = at[(buf[at + 1] < 0xC0) & ~np.isin(buf[at + 1], (0xAA, 0xB5, 0xBA))]
-    buf[at] = buf[at + 1] = 32
-    at = np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] == 0x80) | (buf[:-2] == 0xE3) & (buf[1:-1] == 0x80)) if len(buf) > 2 else at[:0]
-    buf[at] = buf[at + 1] = buf[at + 2] = 32
-    return buf
-
-
-def normal_words(col: pa.Array) -> Words:
-    """Words without case or punctuation."""
-    buf, off = utf8(pc.utf8_lower(col))
-    return words(spaced(buf), off, ALNUM)
-
-
 @dataclass
 class Automaton:
     """Suffix automaton of several items' words. ``shortest`` and ``item``: of the items that hold a state's strings, the one of fewest words, the first of these."""

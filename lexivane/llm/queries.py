@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import decontaminate, quality, secrets, tokenids, toxicity
+from lexivane.llm import decontaminate, neardup, quality, secrets, tokenids, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,15 @@ def op6_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simple8b, op2_line_frequency, op5_decontaminate, op6_entropy_secrets, op10_toxicity)
+    f.__name__: f for f in (op1_simple8b, op2_line_frequency, op5_decontaminate, op6_entropy_secrets, op8_near_duplicates, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_frequency": quality.ORACLE}

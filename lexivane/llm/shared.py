@@ -85,3 +85,23 @@ def binaries(data: np.ndarray, counts: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: int = 0, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Recuts a stream sorted by its column ``key`` so that no run of equal keys is parted; about ``rows`` rows at a time."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        count += b.num_rows
+        if count < rows or held[0].column(key)[0] == b.column(key)[-1]:
+            continue
+        joined = pa.concat_batches(held)
+        k = joined.column(key).to_numpy(zero_copy_only=False)
+        cut = len(k) - int(np.argmax(k[::-1] != k[-1]))
+        yield joined.slice(0, cut)
+        held, count = [joined.slice(cut)], len(k) - cut
+    if held:
+        yield pa.concat_batches(held)

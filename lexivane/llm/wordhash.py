@@ -5,6 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from lexivane.llm.shared import utf8
 
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,6 +81,23 @@ def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray = SPACED) -> Words
     return Words(s, e, h, np.searchsorted(s, off))
 
 
+def spaced(buf: np.ndarray) -> np.ndarray:
+    """The bytes with Unicode's general punctuation, its spaces and Latin-1's signs made blank."""
+    buf = buf.copy()
+    at = np.flatnonzero(buf[:-1] == 0xC2)
+    at = at[(buf[at + 1] < 0xC0) & ~np.isin(buf[at + 1], (0xAA, 0xB5, 0xBA))]
+    buf[at] = buf[at + 1] = 32
+    at = np.flatnonzero((buf[:-2] == 0xE2) & (buf[1:-1] == 0x80) | (buf[:-2] == 0xE3) & (buf[1:-1] == 0x80)) if len(buf) > 2 else at[:0]
+    buf[at] = buf[at + 1] = buf[at + 2] = 32
+    return buf
+
+
+def normal_words(col: pa.Array) -> Words:
+    """Words without case or punctuation."""
+    buf, off = utf8(pc.utf8_lower(col))
+    return words(spaced(buf), off, ALNUM)
+
+
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of ``n`` hashes that begin at each place; those that would pass the end are left out."""
     if len(h) < n:
