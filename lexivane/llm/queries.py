@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import decontaminate, neardup, quality, secrets, tokenids, toxicity
+from lexivane.llm import decontaminate, neardup, quality, secrets, seedextend, suffixdedup, tokenids, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.drop_frequent_lines(_table(spark, sf_dir, "documents"))
 
 
+def op3_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.later_copies(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -33,11 +37,15 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seedextend.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simple8b, op2_line_frequency, op5_decontaminate, op6_entropy_secrets, op8_near_duplicates, op10_toxicity)
+    f.__name__: f for f in (op1_simple8b, op2_line_frequency, op3_longest_previous_factor, op5_decontaminate, op6_entropy_secrets, op8_near_duplicates, op9_seed_extend, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_frequency": quality.ORACLE}
