@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import decontaminate, neardup, quality, secrets, seedextend, suffixdedup, tokenids, toxicity
+from lexivane.llm import decontaminate, langid, neardup, packing, quality, secrets, seedextend, suffixdedup, tokenids, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.later_copies(_table(spark, sf_dir, "documents"))
 
 
+def op4_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_related(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +37,11 @@ def op6_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +55,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simple8b, op2_line_frequency, op3_longest_previous_factor, op5_decontaminate, op6_entropy_secrets, op8_near_duplicates, op9_seed_extend, op10_toxicity)
+    f.__name__: f for f in (op1_simple8b, op2_line_frequency, op3_longest_previous_factor, op4_related_packing, op5_decontaminate, op6_entropy_secrets, op7_byte_cnn, op8_near_duplicates, op9_seed_extend, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {"op2_line_frequency": quality.ORACLE}
