@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivane.llm import decontaminate, quality, secrets
+from lexivane.llm import decontaminate, neardup, packing, quality, secrets
 from lexivane.llm.shared import shared_dir
 
 
@@ -16,6 +16,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.drop_frequent_lines(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: of each group of near duplicates one document stays."""
+    return neardup.drop_near_duplicates(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: passages of benchmark items go."""
     return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -26,10 +31,17 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact_secrets(docs)
 
 
+def related_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: related documents share windows."""
+    return packing.pack_related(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("secret scans", secret_scan),
+    ("packing", related_packing),
 ]
 
 #: SQL can't express the MinHash, automaton and graph stages; tests hold them against brute force.
