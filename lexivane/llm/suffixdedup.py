@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lexivane.llm.anchors import LEAST, LEFT, SPAN, SPANS, bucketed, contexts, merged, span_batch
 from lexivane.llm.shared import durable, row_key
-from lexivane.llm.wordhash import SPACED, words
+from lexivane.llm.wordhash import SPACED, mix, powers, words
 
+_Q = np.uint64(0x8CB92BA72F3D8DD7)
 _LEVELS = (1, 2, 4, 8, 16, 32)
 
 
@@ -53,6 +54,19 @@ def common(ranks: list[np.ndarray], i: np.ndarray, j: np.ndarray, most: np.ndarr
     return n
 
 
+def _row_hash(m: np.ndarray) -> np.ndarray:
+    return mix((m.astype(np.uint64) * powers(_Q, m.shape[1])).sum(1))
+
+
+def _by(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """Order by two keys, by one sort of both in one number where they fit."""
+    low = minor.min()
+    bits = int(minor.max() - low).bit_length()
+    if int(major.max()).bit_length() + bits < 63:
+        return np.argsort(major << bits | minor - low)
+    return np.lexsort((minor, major))
+
+
 def longest_previous(m: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Longest previous factors of LEAST symbols and more.
 
@@ -60,33 +74,46 @@ def longest_previous(m: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, n
     symbols come from. Gives flat places, the lengths of their longest factor that also begins at a smaller
     position, and where: the better of the previous and the next smaller position in suffix order.
     """
-    ranks = prefix_ranks(m)
-    last = ranks[5]
-    starts = SPAN - LEAST + 1
+    # rows of equal symbols, as whole copies have, are sorted once
+    _, one, same = np.unique(_row_hash(m), return_index=True, return_inverse=True)
+    ranks = prefix_ranks(m[one])
+    last, starts = ranks[5], SPAN - LEAST + 1
+    first, second = last[:, :starts], last[:, LEAST - 32 : LEAST - 32 + starts]
+    beyond = np.concatenate([last[:, 32:] + 1, np.zeros((len(last), max(0, starts + 32 - SPAN)), np.int64)], axis=1)[:, :starts]
+    _, kind = np.unique(first << 32 | second, return_inverse=True)
+    _, full = np.unique(first << 32 | beyond, return_inverse=True)
+    kind, full = kind.reshape(first.shape), full.reshape(first.shape)
     valid = (m[:, :starts] != 0) & (m[:, LEAST - 1 : LEAST - 1 + starts] != 0)
     row, col = np.nonzero(valid)
+    kinds = kind[same[row], col]
+    keep = np.bincount(kinds)[kinds] > 1 if len(row) else valid[:0, 0]  # others share no LEAST symbols with any
+    row, col = row[keep], col[keep]
     flat = row * SPAN + col
-    first, second = last[row, col], last[row, col + LEAST - 32]
-    kind = first << 32 | second
-    _, kind, size = np.unique(kind, return_inverse=True, return_counts=True)
-    keep = size[kind] > 1  # others share no LEAST symbols with any
-    row, col, flat, kind = row[keep], col[keep], flat[keep], kind[keep]
     if not len(flat):
         return flat, flat, flat
-    beyond = np.where(col + 32 < SPAN, last[row, np.minimum(col + 32, SPAN - 1)] + 1, 0)
-    pos = position[row, col]
-    order = np.lexsort((pos, beyond, last[row, col]))  # suffix order
+    pos, full = position[row, col], full[same[row], col]
+    order = _by(full, pos)  # suffix order
     row, col, flat, pos = row[order], col[order], flat[order], pos[order]
-    before = nearest_smaller(pos)
-    after = len(pos) - 1 - nearest_smaller(pos[::-1])[::-1]
+    full = full[order]
     room = np.cumsum((m != 0)[:, ::-1], axis=1)[:, ::-1].ravel()[flat]  # documents have no gaps
     best, where = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
-    for other in (before, after):
-        some = np.flatnonzero((other >= 0) & (other < len(flat)))
-        n = common(ranks, flat[some], flat[other[some]], np.minimum(room[some], room[other[some]]))
-        better = (n > best[some]) | (n == best[some]) & (n > 0) & (pos[other[some]] < pos[where[some]])
-        best[some[better]] = n[better]
-        where[some[better]] = other[some[better]]
+    new = np.concatenate([[True], full[1:] != full[:-1]])
+    head = np.flatnonzero(new)
+    # of suffixes that agree as far as the order goes, each but the first has a smaller position just before it
+    apart = np.concatenate([[True], new[1:] | (pos[1:] != pos[:-1])])
+    before = np.maximum.accumulate(np.where(apart, np.arange(len(pos)), 0)) - 1
+    some = np.flatnonzero(before >= np.repeat(head, np.diff(np.concatenate([head, [len(pos)]]))))
+    where[some] = before[some]
+    best[some] = np.minimum(np.minimum(room[some], room[where[some]]), np.minimum(64, SPAN - np.maximum(col[some], col[where[some]])))
+    # the first ones look at the others' first ones on both sides
+    least, at = pos[head], same[row[head]] * SPAN + col[head]
+    for other in (nearest_smaller(least), len(head) - 1 - nearest_smaller(least[::-1])[::-1]):
+        i = np.flatnonzero((other >= 0) & (other < len(head)))
+        j = other[i]
+        n = common(ranks, at[i], at[j], np.minimum(room[head[i]], room[head[j]]))
+        better = (n > best[head[i]]) | (n == best[head[i]]) & (n > 0) & (least[j] < pos[where[head[i]]])
+        best[head[i[better]]] = n[better]
+        where[head[i[better]]] = head[j[better]]
     found = np.flatnonzero(best >= LEAST)
     return flat[found], best[found], flat[where[found]]
 
@@ -96,7 +123,8 @@ def _each(anchor, doc, key, at, m) -> Iterator[pa.RecordBatch]:
     step = np.concatenate([[False], (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1])])
     rank = np.empty(len(doc), np.int64)
     rank[order] = np.cumsum(step)
-    position = (rank << 32 | (at + (1 << 20)).astype(np.int64))[:, None] + np.arange(-LEFT, SPAN - LEFT)
+    bits = (int(at.max()) + SPAN).bit_length()
+    position = (rank << bits | at.astype(np.int64))[:, None] + np.arange(SPAN)
     flat, n, other = longest_previous(m, position)
     if not len(flat):
         return
