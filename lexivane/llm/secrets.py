@@ -37,7 +37,7 @@ _PLAIN = _DIGIT | _UPPER | _LOWER
 
 def windows(data: bytes, size: int = WINDOW) -> list[float]:
     """Shannon entropy, in bits a character, of each window of ``size``: counts change by the character that comes and the one that goes."""
-    f = [0.0] + [c * math.log2(c) for c in range(1, size + 1)]
+    f = [0.0] + [c * math.log2(c) for c in range(1, size + 2)]
     count, total, out, top = [0] * 256, 0.0, [], math.log2(size)
     for i, c in enumerate(data):
         k = count[c] = count[c] + 1
