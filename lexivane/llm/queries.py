@@ -51,7 +51,9 @@ def op9_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    learned = toxicity.learn_lexicon(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, learned=learned)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -9,8 +9,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lexivane.llm.shared import slices, utf8
+from lexivane.llm.neardup import drop_near_duplicates
+from lexivane.llm.shared import durable, slices, utf8
 
 #: Whole words and their weights, after folding.
 LEXICON = {
@@ -24,6 +26,8 @@ LEXICON = {
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "trash collection", "clown fish", "clown car", "clown shoes", "circus clown", "sore loser", "loser bracket", "moron test", "dumb bell", "dumb waiter", "dumb terminal", "the idiot by dostoevsky", "shut up shop", "pathetic fallacy", "degenerate case", "degenerate matter")
 #: Weight to a hundred words that makes a document toxic, and the least weight in all.
 RATE, LEAST = 0.1, 0.7
+#: The bound of the labelled sample that words are learned from; documents of it that a word must mark; how much oftener in toxic ones; its weight.
+LABEL_ROWS, LEAST_MARKED, LEAST_RATIO, LEARNED = 20_000, 6, 30.0, 0.45
 SCHEMA = "doc_id bigint, score double, weight double, n_hits bigint, n_words bigint"
 _CYRILLIC_GREEK = dict(zip("абвгдеёзіїјкмнорсѕтухԁһոսαβεικνορτυχγηω", "abbrdeesiijkmhopcstyxdhnuabeikvoptuxynw", strict=True))
 _DIGITS = dict(zip(b"0134578@$", b"oieastbas", strict=True))
@@ -42,6 +46,8 @@ def _two_byte() -> np.ndarray:
 
 
 _TWO = _two_byte()
+#: For each code point under 0x800 its lower case, where that is under 0x800 too.
+_SMALL = np.array([ord(c) if len(c := chr(cp).lower()) == 1 and 0x80 <= ord(c) < 0x800 else cp for cp in range(0x800)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -52,10 +58,10 @@ for _k, _v in _DIGITS.items():
 _EURO = (0xE2, 0x82, 0xAC)
 
 
-def fold(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fold(buf: np.ndarray, off: np.ndarray, plain: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Texts as words of plain letters, one blank between them and at either end, and their offsets.
 
-    Case, accents and look-alike letters of other scripts are folded; invisible characters go; digits and
+    Case, accents and look-alike letters of other scripts are folded (without ``plain`` case only); invisible characters go; digits and
     signs that stand for letters become these if a letter follows, as in ``1d10t`` or ``$tupid``, and are
     blanks otherwise, as in ``stupid$$$``.
     """
@@ -63,7 +69,10 @@ def fold(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(buf) and buf.max() >= 0x80:
         at = np.flatnonzero((buf >= 0xC2) & (buf <= 0xDF))
         cp = (buf[at].astype(np.int64) & 31) << 6 | buf[at + 1] & 63
-        known = _TWO[cp] > 0
+        known = (_TWO[cp] > 0) & plain
+        if not plain:
+            small = _SMALL[cp]
+            buf[at], buf[at + 1] = 0xC0 | small >> 6, 0x80 | small & 63
         buf[at[known]] = _TWO[cp[known]]
         gone[at[known] + 1] = True
         gone[(soft := at[cp == 0xAD])] = gone[soft + 1] = True
@@ -110,7 +119,8 @@ def _automaton(lexicon: tuple, exceptions: tuple):
     for phrase in exceptions:
         a.add_word(f" {phrase} ", (None, len(phrase)))
     for phrase, weight in lexicon:
-        a.add_word(f" {phrase} ", (weight, len(phrase)))
+        key = f" {phrase} ".encode().decode("latin-1")  # as the folded bytes are read
+        a.add_word(key, (weight, len(key) - 2))
     a.make_automaton()
     return a
 
@@ -123,30 +133,63 @@ def hits(text: str, automaton) -> list[tuple[int, float]]:
     return [(s, w) for s, e, w in found if not any(a <= s and e <= b for a, b, _ in safe)] if safe else [(s, w) for s, _, w in found]
 
 
+def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = LABEL_ROWS) -> dict[str, float]:
+    """Words that labels show to mark toxic documents, in any language, each with the weight LEARNED; two are needed to make a document toxic.
+
+    The sample is the ``rows`` labelled documents whose ids hash lowest, one of each group of near duplicates, as
+    copies say nothing more. A word is taken if LEAST_MARKED toxic ones hold it, and LEAST_RATIO times as large a
+    share of these as of the others. Null labels and ids are left out; without labels of both kinds nothing is learned.
+    """
+    known = labels.select(labels[id_col].cast("bigint").alias("doc_id"), labels[label_col].cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    sample = drop_near_duplicates(durable(texts.join(F.broadcast(known), "doc_id"), "labelled"))  # ``rows`` ids at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 0):
+                buf, off = fold(*utf8(b.column(0)), plain=False)
+                found = [(w, t) for i, j, t in zip(off, off[1:], b.column(1).to_pylist(), strict=False) for w in {*buf[i:j].tobytes().split()}]
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode(errors="replace") for w, _ in found], pa.string()), pa.array([t for _, t in found], pa.int32())], ["word", "toxic"])
+
+    sample = durable(sample, "sample")
+    total = {bool(t): n for t, n in sample.groupBy(F.col("toxic") > 0).count().collect()}
+    if len(total) < 2:
+        return {}
+    counts = sample.select("text", "toxic").mapInArrow(run, "word string, toxic int").groupBy("word").agg(F.sum((F.col("toxic") > 0).cast("int")).alias("a"), F.sum((F.col("toxic") <= 0).cast("int")).alias("b"))
+    marks = counts.where((F.col("a") >= LEAST_MARKED) & (F.col("a") / total[True] >= LEAST_RATIO * (F.col("b") + 0.5) / total[False]))
+    return {r["word"]: LEARNED for r in marks.select("word").collect()}
+
+
 def score_toxicity(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon: dict[str, float] | None = None, exceptions: tuple[str, ...] = EXCEPTIONS, rate: float = RATE, least: float = LEAST, only_toxic: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon: dict[str, float] | None = None, learned: dict[str, float] | None = None, exceptions: tuple[str, ...] = EXCEPTIONS, rate: float = RATE, least: float = LEAST, only_toxic: bool = True
 ) -> DataFrame:
     """Toxic documents: ``doc_id, score, weight, n_hits, n_words``, by the lexicon's words in each.
 
     ``weight`` sums the weights of the matches outside exception phrases, ``score`` is that to a hundred
     words; a document is toxic from ``rate`` and ``least`` on. ``only_toxic=False`` gives all documents.
     A null or empty text scores 0; repeated rows give a row each; a null id stays null. A lexicon's
-    phrases are in plain lower-case letters with single blanks. One narrow pass: no shuffle.
+    phrases are in plain lower-case letters with single blanks; ``learned`` words (see ``learn_lexicon``) keep their
+    accents, and those of the lexicon are not counted again. One narrow pass: no shuffle.
     """
-    words = tuple(sorted((LEXICON if lexicon is None else lexicon).items()))
+    words = LEXICON if lexicon is None else lexicon
+    extra = tuple(sorted((w, x) for w, x in (learned or {}).items() if w not in words))
+    words = tuple(sorted(words.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(words, tuple(exceptions))
+        passes = [(_automaton(w, tuple(exceptions)), plain) for w, plain in ((words, True), (extra, False)) if w]
         for whole in batches:
             for b in slices(whole, 1):
-                buf, off = fold(*utf8(b.column(1)))
-                n = len(off) - 1
+                n = b.num_rows
                 weight, count = np.zeros(n), np.zeros(n, np.int64)
-                if len(automaton) and (h := hits(buf.tobytes().decode("latin-1"), automaton)):
-                    at, w = map(np.array, zip(*h, strict=True))
-                    d = np.searchsorted(off, at, "right") - 1
-                    np.add.at(weight, d, w)
-                    np.add.at(count, d, 1)
+                buf, off = fold(*utf8(b.column(1)))
+                for automaton, plain in passes:
+                    text, at = (buf, off) if plain else fold(*utf8(b.column(1)), plain=False)
+                    if h := hits(text.tobytes().decode("latin-1"), automaton):
+                        place, w = map(np.array, zip(*h, strict=True))
+                        d = np.searchsorted(at, place, "right") - 1
+                        np.add.at(weight, d, w)
+                        np.add.at(count, d, 1)
                 starts = _LETTER[buf]
                 starts[1:] &= ~_LETTER[buf[:-1]]
                 total = np.concatenate([[0], np.cumsum(starts)])[off]
