@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.llm.graph import components
-from lexivane.llm.shared import durable, row_key, runs, slices
+from lexivane.llm.shared import BROADCAST_BYTES, durable, row_key, runs, slices
 from lexivane.llm.wordhash import mix, ngrams, normal_words, whole
 
 #: Words to a shingle; slots of a signature, 16 bits each; slots in which near duplicates may differ.
@@ -205,6 +205,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sigs, groups = _groups(docs, id_col, text_col, max_distance)
     gone = durable(groups.where("key <> keep_key").select(F.col("key").alias("_lv_key")).distinct(), "gone")
     repeated = durable(sigs.groupBy(F.col("key").alias("_lv_key")).count().where("count > 1").select("_lv_key"), "repeated")
+    if 16 * gone.count() <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)  # else the texts are shuffled by key
     out = docs.withColumn("_lv_key", row_key(id_col, text_col)).join(gone, "_lv_key", "left_anti")
     if not repeated.isEmpty():
         out = out.join(repeated, "_lv_key", "left_anti").unionByName(out.join(repeated, "_lv_key", "left_semi").dropDuplicates(["_lv_key"]))
