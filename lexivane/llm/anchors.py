@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.llm.shared import binaries, durable, row_key, runs, slices, utf8
+from lexivane.llm.shared import binaries, bounded, durable, row_key, runs, slices, utf8
 from lexivane.llm.wordhash import Words, ngrams, whole, words
 
 #: Words of the shortest repeat.
@@ -45,7 +45,7 @@ def winnow(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(row_key(id_col, text_col).alias("key"), docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return bounded(docs).select(row_key(id_col, text_col).alias("key"), docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
 def contexts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.llm.shared import slices
+from lexivane.llm.shared import bounded, slices
 from lexivane.llm.wordhash import ALNUM, Words, mix, normal_words, spaced, words
 
 #: A match of this many words is a leak.
@@ -181,7 +181,7 @@ def _over(docs: DataFrame, make: Callable, schema) -> Callable[[Scanner], DataFr
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from make(shared.value, batches)
 
-        return docs.mapInArrow(run, schema)
+        return bounded(docs).mapInArrow(run, schema)
 
     return apply
 

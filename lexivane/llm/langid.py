@@ -11,7 +11,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivane.llm.shared import slices, utf8
+from lexivane.llm.shared import bounded, slices, utf8
 
 #: Bytes to a window, bytes that windows overlap, numbers of an embedding, widths of filters, filters of each width.
 WINDOW, OVERLAP, DEPTH, WIDTHS, FILTERS = 128, 4, 8, (2, 3, 4, 5), 8
@@ -151,4 +151,4 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
                     share = pa.array(np.round(p.max(1), 6), mask=~some)
                 yield pa.RecordBatch.from_arrays([b.column(0), best, share, pa.array(count)], ["doc_id", "language", "probability", "n_windows"])
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return bounded(docs).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.llm.graph import components
-from lexivane.llm.shared import BROADCAST_BYTES, durable, row_key, runs, slices
+from lexivane.llm.shared import BROADCAST_BYTES, bounded, durable, row_key, runs, slices
 from lexivane.llm.wordhash import mix, ngrams, normal_words, whole
 
 #: Words to a shingle; slots of a signature, 16 bits each; slots in which near duplicates may differ.
@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 data = pa.Array.from_buffers(pa.binary(2 * SLOTS), len(sig), [None, pa.py_buffer(sig.astype("<u2").tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(some), b.column(1).filter(some), data], ["key", "doc_id", "sig"])
 
-    return docs.select(row_key(id_col, text_col).alias("key"), docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "key bigint, doc_id bigint, sig binary")
+    return bounded(docs).select(row_key(id_col, text_col).alias("key"), docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "key bigint, doc_id bigint, sig binary")
 
 
 def _matrix(col: pa.Array) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.llm.shared import slices, utf8
+from lexivane.llm.shared import bounded, slices, utf8
 
 #: Characters to a window, and the fewest of a candidate.
 WINDOW = 20
@@ -116,7 +116,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         ["doc_id", "start_byte", "n_bytes", "kind", "entropy", "from_byte", "to_byte"],
                     )
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return bounded(docs).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALLOWED, allowed_before: str = ALLOWED_BEFORE, limits: dict[str, float] | None = None) -> DataFrame:
@@ -134,5 +134,5 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", allowed: tuple[str,
                     b = pa.RecordBatch.from_arrays([pa.array(text, b.column(at).type) if i == at else c for i, c in enumerate(b.columns)], columns)
                 yield b
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = bounded(docs).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length(text_col).cast("bigint")) if "n_chars" in columns else out

@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 
 #: Largest table, in estimated bytes, that an operator ships whole to every executor.
 BROADCAST_BYTES = 32 << 20
+#: Bytes to an Arrow batch, and the setting that says so.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, from ``spark.checkpoint.dir``; a temporary one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="lexivane-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="lexivane-")
+        _own[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 
@@ -35,10 +38,20 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, its session's Arrow batches kept to BATCH_BYTES unless set otherwise.
+
+    Batches go by rows alone by default: ten thousand long texts would take gigabytes, and past two don't fit one at all.
+    """
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
+    return df
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """64-bit identity of a document: its id and text.
 
-    Repeated rows share a key; rows with one id but different texts don't, nor do rows with a null id.
+    Repeated rows share a key; rows with one id but different texts don't. Rows without an id go by their text.
     """
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 

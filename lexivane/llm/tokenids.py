@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexivane.llm.shared import binaries, ragged, slices
+from lexivane.llm.shared import binaries, bounded, ragged, slices
 
 #: Place of the tokenizer's ranks; nothing of it is kept here.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -157,7 +157,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     ["doc_id", "n_tokens", "block_words", "packed"],
                 )
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return bounded(docs).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def decode_documents(packed: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -169,4 +169,4 @@ def decode_documents(packed: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame
             ids = [unpack(np.frombuffer(d, "<u8"), np.array(k, np.int64), n) for n, k, d in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())), pa.array([decode(x.tolist()) for x in ids], pa.string())], ["doc_id", "ids", "text"])
 
-    return packed.select("doc_id", "n_tokens", "block_words", "packed").mapInArrow(run, "doc_id bigint, ids array<bigint>, text string")
+    return bounded(packed).select("doc_id", "n_tokens", "block_words", "packed").mapInArrow(run, "doc_id bigint, ids array<bigint>, text string")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.llm.neardup import drop_near_duplicates
-from lexivane.llm.shared import durable, slices, utf8
+from lexivane.llm.shared import bounded, durable, slices, utf8
 
 #: Whole words and their weights, after folding.
 LEXICON = {
@@ -156,7 +156,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     total = {bool(t): n for t, n in sample.groupBy(F.col("toxic") > 0).count().collect()}
     if len(total) < 2:
         return {}
-    counts = sample.select("text", "toxic").mapInArrow(run, "word string, toxic int").groupBy("word").agg(F.sum((F.col("toxic") > 0).cast("int")).alias("a"), F.sum((F.col("toxic") <= 0).cast("int")).alias("b"))
+    counts = bounded(sample).select("text", "toxic").mapInArrow(run, "word string, toxic int").groupBy("word").agg(F.sum((F.col("toxic") > 0).cast("int")).alias("a"), F.sum((F.col("toxic") <= 0).cast("int")).alias("b"))
     marks = counts.where((F.col("a") >= LEAST_MARKED) & (F.col("a") / total[True] >= LEAST_RATIO * (F.col("b") + 0.5) / total[False]))
     return {r["word"]: LEARNED for r in marks.select("word").collect()}
 
@@ -198,4 +198,4 @@ def score_toxicity(
                 keep = (score >= rate) & (weight >= least) if only_toxic else np.ones(n, bool)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(np.round(weight, 6)), pa.array(count), pa.array(size)], ["doc_id", "score", "weight", "n_hits", "n_words"]).filter(pa.array(keep))
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return bounded(docs).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
