@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexivane.functions.text import tokens
 from lexivane.operators.vocab import exploded
 
 
@@ -15,14 +16,14 @@ def word_ids(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: Co
 
 def vectors(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: Column | str = "text") -> DataFrame:
     """``<id_col>, encoded_data, norm2``: each document's word ids in text order and the sum of their squares; empty texts have no ids and 0."""
-    ids = word_ids(docs, vocab, id_col, text).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "word_id")))["word_id"].alias("encoded_data"), F.sum(F.col("word_id") * F.col("word_id")).alias("norm2"))
-    empty = F.array().cast("array<bigint>")
-    return docs.select(id_col).distinct().join(ids, id_col, "left").select(id_col, F.coalesce("encoded_data", empty).alias("encoded_data"), F.coalesce("norm2", F.lit(0).cast("bigint")).alias("norm2"))
+    words = docs.select(id_col, F.posexplode_outer(tokens(F.col(text) if isinstance(text, str) else text)).alias("pos", "word"))
+    ids = words.join(vocab, "word", "left").withColumn("at", F.when(F.col("word_id").isNotNull(), F.struct("pos", "word_id")))
+    squares = F.coalesce(F.sum(F.col("word_id") * F.col("word_id")), F.lit(0).cast("bigint"))
+    return ids.groupBy(id_col).agg(F.sort_array(F.collect_list("at"))["word_id"].alias("encoded_data"), squares.alias("norm2"))
 
 
 def decode(encoded: DataFrame, vocab: DataFrame, id_col: str = "doc_id", vector: str = "encoded_data") -> DataFrame:
     """``<id_col>, text``: the words of each vector, a blank between them; an id that no word has reads as nothing."""
-    ids = encoded.select(id_col, F.posexplode(vector).alias("pos", "word_id"))
+    ids = encoded.select(id_col, F.posexplode_outer(vector).alias("pos", "word_id"))
     words = ids.join(vocab, "word_id", "left").select(id_col, F.struct("pos", F.coalesce("word", F.lit("")).alias("word")).alias("at"))
-    text = words.groupBy(id_col).agg(F.array_join(F.sort_array(F.collect_list("at"))["word"], " ").alias("text"))
-    return encoded.select(id_col).distinct().join(text, id_col, "left").select(id_col, F.coalesce("text", F.lit("")).alias("text"))
+    return words.groupBy(id_col).agg(F.array_join(F.sort_array(F.collect_list("at"))["word"], " ").alias("text"))

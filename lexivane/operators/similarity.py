@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from lexivane.errors import RowError
 from lexivane.functions.text import STOPWORDS, drop_stopwords, tokens
-from lexivane.operators.vocab import largest
 
 
 def query_words(spark, text: str | None, stopwords: Sequence[str] = STOPWORDS) -> list[str]:
@@ -23,8 +22,9 @@ def query_ids(words: list[str], vocab: DataFrame) -> tuple[list[int], list[tuple
     """The words' ids, and of those new to the dictionary the ids on from its highest, in order."""
     if not words:
         return [], []
-    known = {r["word"]: r["word_id"] for r in vocab.where(F.col("word").isin(*set(words))).collect()}
-    after = largest(vocab) if any(w not in known for w in words) else 0
+    asked = F.when(F.col("word").isin(*set(words)), F.struct("word", "word_id"))
+    found, after = vocab.agg(F.collect_list(asked), F.coalesce(F.max("word_id"), F.lit(0))).first()
+    known = {r["word"]: r["word_id"] for r in found}
     new: list[tuple[str, int]] = []
     for w in words:
         if w not in known:

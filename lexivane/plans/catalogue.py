@@ -73,7 +73,7 @@ def _documents(spark, sf_dir) -> DataFrame:
 
 def _encoded(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    words = vocab.build(docs)
+    words = vocab.build(docs).persist()  # used more than once
     return encode.vectors(docs, words), words
 
 
@@ -181,7 +181,7 @@ docs AS (SELECT row_number() OVER (ORDER BY o, row_id) AS doc_id, table_name, o,
 )
 def search_all_tables(spark, sf_dir):
     rows = _all_tables(spark, sf_dir)
-    words = vocab.build(rows)
+    words = vocab.build(rows).persist()
     ids, _ = similarity.query_ids(similarity.query_words(spark, QUERY), words)
     scored = similarity.scored(encode.vectors(rows, words), ids).select("doc_id", "score").join(rows.drop("text"), "doc_id")
     return _ranked(scored, 10, "table_ord", "row_id").select("rank", "table_name", "row_id", "score")
