@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 _VOID = frozenset("area base basefont bgsound br col command embed frame hr image img input isindex keygen link menuitem meta nextid param source spacer track wbr".split())
 _SILENT = frozenset(("script", "style", "template"))
@@ -105,13 +106,16 @@ def article(html: str) -> str | None:
     return None
 
 
-def extract_articles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``<id_col>, content, error`` of each page; ``content`` is null, and ``error`` says so, where no article was found."""
+def extract_articles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: Sequence[str] = ()) -> DataFrame:
+    """``<id_col>, content, error`` of each page and the columns to ``keep``; ``content`` is null, and ``error`` says so, where no article was found."""
+    carried = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content = [None if h is None else article(h) for h in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.string()), pa.array(["no article found" if c is None else None for c in content], pa.string())], [id_col, "content", "error"])
+            content = [None if h is None else article(h) for h in b.column(len(carried)).to_pylist()]
+            errors = ["no article found" if c is None else None for c in content]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], pa.array(content, pa.string()), pa.array(errors, pa.string())], [*carried, "content", "error"])
 
-    slim = pages.select(id_col, pages[html_col].cast("string").alias("html"))
-    return slim.mapInArrow(run, f"`{id_col}` {slim.schema[id_col].dataType.simpleString()}, content string, error string")
+    slim = pages.select(*carried, pages[html_col].cast("string").alias("_lv_html"))
+    schema = T.StructType([*[slim.schema[c] for c in carried], T.StructField("content", T.StringType()), T.StructField("error", T.StringType())])
+    return slim.mapInArrow(run, schema)

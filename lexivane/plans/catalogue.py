@@ -220,8 +220,8 @@ def html_extract(spark, sf_dir):
 @query()
 def ingest_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages", "page_id")
-    found = page.extract_articles(pages).where("content <> ''").select("page_id", "content")
-    rows = pages.select("page_id", "url", t.url_title(F.col("url")).alias("title")).join(found, "page_id").withColumn("id", F.lit(None).cast("bigint"))
+    found = page.extract_articles(pages, keep=["url"]).where("content <> ''")
+    rows = found.select("page_id", "url", t.url_title(F.col("url")).alias("title"), "content").withColumn("id", F.lit(None).cast("bigint"))
     rows = with_ids(rows, "page_id", 1)
     return rows.select("id", "title", "url", F.size(t.tokens(t.combined(["title", "content", "url"], ["title", "content", "url"]))).cast("bigint").alias("n_tokens"))
 

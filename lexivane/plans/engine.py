@@ -16,7 +16,7 @@ from lexivane.functions.text import STOPWORDS, combined, preview, url_title
 from lexivane.operators import encode, similarity, vocab
 from lexivane.plans.durable import written
 from lexivane.sources import files
-from lexivane.sources.catalog import Catalog, Table, read_json_table, with_ids, write_json_table
+from lexivane.sources.catalog import ORDER, Catalog, Table, read_json_table, write_json_table
 
 ARTICLES = ("title", "content", "url", "encoded_data")
 
@@ -69,9 +69,15 @@ class Engine:
                 raise RowError(f"no table {name}")
             if "encoded_data" not in table.columns:
                 raise InsertError(f"table {name} has no column encoded_data")
+            fresh = None
+            if order is not None:
+                rows = rows.withColumn(ORDER, order)
+            elif ORDER not in rows.columns:  # the order in which rows come is kept before it is relied on
+                fresh = written(self.spark, rows.withColumn(ORDER, F.monotonically_increasing_id()), self.catalog.folder.path)
+                rows = fresh.df
             rows = rows.withColumn("encoded_data", F.lit(None).cast("array<bigint>"))
             with self._timed("check"):
-                ready = written(self.spark, self.catalog.prepared(name, rows, order), self.catalog.folder.path)
+                ready = written(self.spark, self.catalog.prepared(name, rows), self.catalog.folder.path)
             key, text = table.primary_key, combined(table.columns, table.columns)
             batch = batch or f"{time.time_ns():020d}"
             # rows of a table without ids teach their words in the order of a hash of their key
@@ -88,25 +94,20 @@ class Engine:
             with self._timed("insert"):
                 self.catalog.append(name, ready.df.drop("encoded_data").join(made, key).select(*[F.col(f"`{c}`") for c in table.columns], "norm2"), batch)
             n = ready.df.count()
-            ready.drop()
+            for scratch in (ready, fresh):
+                if scratch is not None:
+                    scratch.drop()
         return n
 
     def ingest_pages(self, pages: DataFrame, name: str = "articles", url_col: str = "url", html_col: str = "html", order: Column | None = None, batch: str | None = None) -> int:
         """Adds the articles of web pages; pages without one, or with an empty one, add none. Makes the table at need."""
         if self.catalog.get(name) is None:
             self.create_table(name)
-        keyed = pages.withColumn("_lv_row", F.monotonically_increasing_id() if order is None else order)
-        found = extract_articles(keyed, "_lv_row", html_col).where("content <> ''")
-        rows = keyed.select("_lv_row", F.col(url_col).alias("url")).join(found, "_lv_row").select(url_title(F.col("url")).alias("title"), "content", "url", "_lv_row")
-        return self._insert_ordered(name, rows, batch)
-
-    def _insert_ordered(self, name: str, rows: DataFrame, batch: str | None = None) -> int:
-        kept = written(self.spark, rows, self.catalog.folder.path)
-        slim = kept.df.withColumn("encoded_data", F.lit(None).cast("array<bigint>"))
+        keyed = pages.withColumn(ORDER, F.monotonically_increasing_id() if order is None else order)
+        found = extract_articles(keyed, ORDER, html_col, keep=[url_col]).where("content <> ''")
+        kept = written(self.spark, found.select(url_title(F.col(url_col)).alias("title"), "content", F.col(url_col).alias("url"), ORDER), self.catalog.folder.path)
         try:
-            stored = self.catalog.rows(name)
-            after = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-            return self.insert(name, with_ids(slim.withColumn("id", F.lit(None).cast("bigint")), "_lv_row", after + 1).drop("_lv_row", "encoded_data"), batch=batch)
+            return self.insert(name, kept.df, batch=batch)
         finally:
             kept.drop()
 

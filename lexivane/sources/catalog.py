@@ -16,6 +16,8 @@ from lexivane.sources.storage import Folder
 
 _TYPES = {"id": T.LongType(), "encoded_data": T.ArrayType(T.LongType()), "norm2": T.LongType()}
 _CHUNK = 4096
+#: A column that rows may bring along to be ordered by; it isn't stored.
+ORDER = "_lv_order"
 
 
 @dataclass(frozen=True)
@@ -97,22 +99,25 @@ class Catalog:
         """``rows`` fit for the table: columns in its order, ids given, no key there twice or already.
 
         The columns must be just those of the table, but for an ``id`` key, which may be left out or null.
-        ``order`` is a whole number by which ids are given; without it rows are taken as they come.
+        Ids are given in the order of a whole number, ``order`` or a column ORDER; without either rows are
+        taken as they come, which must then be the same each time they are computed.
         """
         table = self.get(name)
         if table is None:
             raise RowError(f"no table {name}")
-        key, have = table.primary_key, set(rows.columns)
+        if order is not None:
+            rows = rows.withColumn(ORDER, order)
+        key, have = table.primary_key, {*rows.columns} - {ORDER}
         stored = self.rows(name) if self.folder.exists(f"{name}/rows") else None
-        if key == "id":
-            if "id" not in have:
-                rows = rows.withColumn("id", F.lit(None).cast("bigint"))
-            if {*rows.columns} == {*table.columns}:
-                after = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if stored is not None else 0
-                numbered = rows.withColumn("_lv_order", F.monotonically_increasing_id() if order is None else order).withColumn("id", F.col("id").cast("bigint"))
-                rows = with_ids(numbered, "_lv_order", max(after, 0) + 1).drop("_lv_order")
-        if {*rows.columns} != {*table.columns}:
+        fits = {*table.columns} == (have | {"id"} if key == "id" else have)
+        if not fits:
             raise InsertError(f"table {name} has the columns {', '.join(table.columns)}, not {', '.join(sorted(have))}")
+        if key == "id":
+            given = F.col("id").cast("bigint") if "id" in have else F.lit(None).cast("bigint")
+            after = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if stored is not None else 0
+            if ORDER not in rows.columns:
+                rows = rows.withColumn(ORDER, F.monotonically_increasing_id())
+            rows = with_ids(rows.withColumn("id", given), ORDER, max(after, 0) + 1)
         rows = rows.select(*[F.col(f"`{c}`") for c in table.columns])
         if twice := repeated_keys(rows, key, stored).take(1):
             raise InsertError(f"table {name}: key {twice[0][0]} is there already")
