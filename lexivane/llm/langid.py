@@ -11,7 +11,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivane.llm.shared import bounded, slices, utf8
+from lexivane.llm.shared import BROADCAST_BYTES, bounded, durable, slices, utf8
 
 #: Bytes to a window, bytes that windows overlap, numbers of an embedding, widths of filters, filters of each width.
 WINDOW, OVERLAP, DEPTH, WIDTHS, FILTERS = 128, 4, 8, (2, 3, 4, 5), 8
@@ -101,25 +101,42 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: i
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """``rows`` labelled documents of each language, those whose ids and texts hash lowest: ``label, text``."""
-    slim = docs.select(docs[label_col].cast("string").alias("label"), docs[text_col].cast("string").alias("text"), F.xxhash64(docs[id_col], docs[text_col]).alias("h")).where("label is not null and length(text) > 0")
-    return slim.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).where(F.col("n") <= rows).select("label", "text").orderBy("label", "h")
+    """``rows`` labelled documents of each language, those whose ids and texts hash lowest: ``label, text``.
+
+    Hashes over what a language's number of documents makes nearly certain to be too high are left out at once, so
+    that no task sees more than some times ``rows`` of a language however many documents there are.
+    """
+    label = docs[label_col].cast("string")
+    sizes = durable(docs.where(label.isNotNull()).groupBy(label.alias("_lv_label")).count(), "languages")
+    if 64 * sizes.count() <= BROADCAST_BYTES:
+        sizes = F.broadcast(sizes)
+    text = docs[text_col].cast("string")
+    slim = docs.where(label.isNotNull() & (F.length(text) > 0)).select(label.alias("label"), text.alias("text"), F.xxhash64(docs[id_col], text).alias("h"))
+    share = (2 * rows + 100) / F.col("count")
+    low = slim.join(sizes, F.col("label") == F.col("_lv_label")).where(F.col("h") / 2.0**64 + 0.5 < share)
+    return low.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).where(F.col("n") <= rows).select("label", "text")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS) -> Network | None:
     """A network for the languages of ``label_col``, from ``rows`` documents of each at most; none without labels."""
-    data = sample(docs, id_col, text_col, label_col, rows).toPandas()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w, count, _ = cut_windows(*utf8(b.column(1)))
+            begin, label, out = np.cumsum(count) - count, [], []
+            for i, (n, seed) in enumerate(zip(count.tolist(), b.column(2).to_pylist(), strict=True)):
+                some = np.random.default_rng(seed & (1 << 62) - 1).permutation(n)[:windows]
+                out += [x.tobytes() for x in w[begin[i] + some]]
+                label += [b.column(0)[i]] * len(some)
+            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in label], pa.string()), pa.array(out, pa.binary())], ["label", "window"])
+
+    # only the windows come to the driver, not the texts
+    chosen = bounded(sample(docs, id_col, text_col, label_col, rows)).select("label", "text", F.xxhash64("text").alias("seed"))
+    data = chosen.mapInArrow(cut, "label string, window binary").toPandas().sort_values(["label", "window"], key=lambda c: c.map(bytes) if c.name == "window" else c)
     if data.empty:
         return None
     languages = sorted(data.label.unique())
-    rng, x, y = np.random.default_rng(SEED), [], []
-    for text, label in zip(data.text, data.label, strict=True):
-        raw = text.encode()
-        w, _, _ = cut_windows(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        w = w[rng.permutation(len(w))[:windows]]
-        x.append(w)
-        y += [languages.index(label)] * len(w)
-    return fit(np.concatenate(x), np.array(y), languages)
+    x = np.frombuffer(b"".join(data.window), np.uint8).reshape(-1, WINDOW)
+    return fit(x, np.array([languages.index(v) for v in data.label]), languages)
 
 
 def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
