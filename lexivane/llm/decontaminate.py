@@ -101,6 +101,8 @@ class Scanner:
     least: int
     pairs: np.ndarray = None
     need: int = 2
+    #: For each state the longest of its strings' proper suffixes that reach ``max_coverage`` of an item of their own, as a state, or 0.
+    inner: list[int] = field(default_factory=list)
 
     @classmethod
     def of(cls, items: list[tuple[int, np.ndarray]], max_words: int, max_coverage: float, least: int) -> Scanner:
@@ -114,8 +116,15 @@ class Scanner:
         self = cls(a, max_words, max_coverage, least, pairs)
         self.need = min([max_words, *(max(least, -int(-max_coverage * len(h) // 1)) for _, h in items if len(h))])
         self.need = max(2, self.need)
+        self.inner = [0] * len(a.link)
+        for s in sorted(range(1, len(a.link)), key=a.length.__getitem__):
+            up = a.link[s]
+            self.inner[s] = up if up and self._covers(a.length[up], a.best[up][0]) else self.inner[up]
         return self
 
+    def _covers(self, n: int, size: int) -> bool:
+        return n >= self.least and n >= self.max_coverage * size
+
     def spans(self, w: Words) -> list[tuple[int, int, int, int]]:
         """Document, first word, words and item of each match over a limit that no longer one holds."""
         if len(w.hash) < self.need:
@@ -133,7 +142,10 @@ class Scanner:
             for i, (s, n) in enumerate(self.automaton.longest(w.hash[b:e].tolist()), b):
                 if n >= self.least:
                     size, item = self.automaton.best[s]
-                    if n >= self.max_words or n >= self.max_coverage * size:
+                    over = n >= self.max_words or self._covers(n, size)
+                    if not over and self.inner[s]:  # a shorter item that a longer one's words go on before
+                        over, n, item = True, self.automaton.length[self.inner[s]], self.automaton.best[self.inner[s]][1]
+                    if over:
                         first = i - n + 1 - base
                         while found and found[-1][1] >= first:
                             found.pop()
@@ -193,7 +205,8 @@ def find_leaks(
 
     Words are compared without case and punctuation. The automaton gives after each word the longest match
     with any item; a match is a leak if it has ``max_words`` words, or ``least`` words and ``max_coverage``
-    of the words of the shortest item that holds it (``item_ids`` names that item). Clean documents, null and
+    of the words of the shortest item that holds it (``item_ids`` names that item). Where the longest is none, the
+    longest of its ends that is a leak counts, so items within others' words are found too. Clean documents, null and
     empty texts among them, give no row; repeated rows give a row each; null items are left out and a null
     item_id reads -1. An empty benchmark or corpus gives no rows. No shuffle; a benchmark of over ``SHARD_CHARS``
     takes several automata, one pass over the documents each, and a document leaking from several has a row for each.

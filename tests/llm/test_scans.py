@@ -7,7 +7,7 @@ import pytest
 
 from lexivane.llm import decontaminate, langid, secrets, toxicity
 from lexivane.llm.shared import utf8
-from lexivane.llm.wordhash import normal_words
+from lexivane.llm.wordhash import Words, normal_words
 from tests.llm import brute
 from tests.llm.fixtures import ids, odd_rows, prose, row, table
 
@@ -98,6 +98,31 @@ def test_leaks_of_real_texts(spark):
     assert {r["doc_id"] for r in decontaminate.find_leaks(docs, b).collect() if r["longest_match"] >= 10} == want
 
 
+def test_short_items_within_long_ones(spark):
+    long = "x a b c d e f " + prose(1, 33)
+    rows = [row(1, "before x a b c d e f after"), row(2, "before a b c d e f after"), row(3, "before x a b c d after")]
+    got = {r["doc_id"]: (r["item_ids"], r["text"]) for r in decontaminate.find_leaks(table(spark, rows), bench(spark, long, "a b c d e f")).collect()}
+    assert got == {1: ([1], "before x after"), 2: ([1], "before after")}
+
+
+def test_spans_against_all_matches():
+    rng = random.Random(3)
+    for _ in range(300):
+        items = [[rng.randrange(1, 4) for _ in range(rng.randrange(2, 14))] for _ in range(rng.randrange(1, 5))]
+        words = [rng.randrange(1, 4) for _ in range(40)]
+        most, share, least = rng.randrange(4, 9), rng.choice([0.5, 0.6, 0.9]), rng.randrange(2, 4)
+        want = set()
+        for i in range(len(words)):
+            for n in range(least, len(words) - i + 1):
+                holding = [len(t) for t in items if any(t[k : k + n] == words[i : i + n] for k in range(len(t) - n + 1))]
+                if holding and (n >= most or n >= share * min(holding)):
+                    want |= set(range(i, i + n))
+        scanner = decontaminate.Scanner.of([(i, np.array(t, np.uint64)) for i, t in enumerate(items)], most, share, least)
+        at = np.arange(len(words))
+        found = scanner.spans(Words(at, at, np.array(words, np.uint64), np.array([0, len(words)])))
+        assert {k for _, first, n, _ in found for k in range(first, first + n)} == want
+
+
 def test_windows_against_definition():
     rng = random.Random(0)
     for _ in range(50):
