@@ -16,7 +16,7 @@ from lexivane.llm.shared import bounded, slices, utf8
 #: Characters to a window, and the fewest of a candidate.
 WINDOW = 20
 #: Bits a character of a window that make a secret, by class of the candidate's characters.
-LIMITS = {"hex": 3.0, "alnum": 3.7, "base64": 3.8}
+LIMITS = {"hex": 3.0, "alnum": 3.7, "base64": 3.8, "upper": 3.0, "lower": 3.2, "letters": 3.4}
 #: Whole candidates that are no secrets, and words before them that say so.
 ALLOWED = (
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",  # UUID
@@ -25,6 +25,8 @@ ALLOWED = (
     r"sha(?:1|256|384|512)-[A-Za-z0-9+/=]+",
 )
 ALLOWED_BEFORE = r"(?:commit|revision|fingerprint|checksum|md5|sha-?1|sha-?256|sha-?512|etag|integrity)[\s:=\"']{1,4}$"
+#: Classes of which words, numbers and paths are no secrets, see ``readable``.
+WORDY = ("upper", "lower", "letters")
 SCHEMA = "doc_id bigint, start_byte bigint, n_bytes bigint, kind string, entropy double, from_byte bigint, to_byte bigint"
 MARK = "<secret>"
 _IN, _DIGIT, _UPPER, _LOWER, _HEX = (np.zeros(256, bool) for _ in range(5))
@@ -33,6 +35,10 @@ _HEX[[*range(48, 58), *range(65, 71), *range(97, 103)]] = True
 _IN[[*b"+/=_-"]] = True
 _IN |= _DIGIT | _UPPER | _LOWER
 _PLAIN = _DIGIT | _UPPER | _LOWER
+_UUID = re.compile(ALLOWED[0])
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+")
+#: Consonants that stand together in words, taken for one.
+_CLUSTERS = re.compile(r"sch|chr|str|[cst]h|ph|pf|ck|h[lmnr]|n[dgkt]|s[pt]|t[sz]|qu|[rl][dgkmnst]|[bcdfgkpt][lr]|([b-df-hj-np-tv-z])\1")
 
 
 def windows(data: bytes, size: int = WINDOW) -> list[float]:
@@ -72,14 +78,30 @@ def candidates(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     hexes = (some(_HEX) == n) & (digits > 0) & (digits < n)
     mixed = (digits > 0) & (upper > 0) & (lower > 0) & ~hexes
     plain = some(_PLAIN) == n
-    keep = hexes | mixed
-    kind = np.where(hexes, "hex", np.where(plain, "alnum", "base64"))
+    keep = hexes | (upper + lower > 0)
+    kind = np.where(hexes, "hex", np.where(mixed, np.where(plain, "alnum", "base64"), np.where(digits == 0, "letters", np.where(upper > 0, "upper", "lower"))))
     return np.searchsorted(off, s[keep], "right") - 1, s[keep], e[keep], kind[keep].tolist()
 
 
+def readable(run: str) -> bool:
+    """Whether a run is put together of numbers and of what can be spoken, as names, slugs and paths are."""
+    run = _UUID.sub("", run)
+    if any(len(p) >= WINDOW and re.search("[a-zA-Z][0-9]+[a-zA-Z]", p) for p in re.split("[+/=_-]", run)):
+        return False
+    parts = _PARTS.findall(run)
+    words = [p.lower() for p in parts if not p.isdigit()]
+    if len(parts) > 2 and 10 * sum(map(len, parts)) < 33 * len(parts):  # many changes of case and class
+        return False
+    for w in words:
+        vowels = len(re.findall("[aeiouy]", w))
+        if len(w) > 4 and (vowels < 0.28 * len(w) - 1 or re.search("[b-df-hj-np-tv-xz]{4}", _CLUSTERS.sub("t", w))):
+            return False
+    return True
+
+
 class Scan:
-    def __init__(self, allowed: tuple[str, ...], before: str, limits: dict[str, float]):
-        self.allowed, self.before, self.limits = re.compile("|".join(f"(?:{x})" for x in allowed) or r"(?!)"), re.compile(before or r"(?!)", re.IGNORECASE), limits
+    def __init__(self, allowed: tuple[str, ...], before: str, limits: dict[str, float] | None):
+        self.allowed, self.before, self.limits = re.compile("|".join(f"(?:{x})" for x in allowed) or r"(?!)"), re.compile(before or r"(?!)", re.IGNORECASE), LIMITS | (limits or {})
 
     def __call__(self, col: pa.Array) -> Iterator[tuple[int, int, int, str, float, int, int]]:
         """Document, first byte and end in its text, class, highest entropy, and the union of the windows over the limit."""
@@ -87,8 +109,10 @@ class Scan:
         for d, s, e, kind in zip(*(x if isinstance(x, list) else x.tolist() for x in candidates(buf, off)), strict=True):
             data = buf[s:e].tobytes()
             h = windows(data)
+            if kind in WORDY:  # such keys hold no slash, what holds one is a path
+                h = [0.0 if b"/" in data[i : i + WINDOW] else x for i, x in enumerate(h)]
             over = [i for i, x in enumerate(h) if x >= self.limits[kind]]
-            if not over or self.allowed.fullmatch(data.decode()) or self.before.search(buf[max(int(off[d]), s - 24) : s].tobytes().decode(errors="replace")):
+            if not over or self.allowed.fullmatch(data.decode()) or kind in WORDY and readable(data.decode()) or self.before.search(buf[max(int(off[d]), s - 24) : s].tobytes().decode(errors="replace")):
                 continue
             base = int(off[d])
             yield d, s - base, e - base, kind, max(h), s - base + over[0], s - base + over[-1] + WINDOW
@@ -97,14 +121,15 @@ class Scan:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: tuple[str, ...] = ALLOWED, allowed_before: str = ALLOWED_BEFORE, limits: dict[str, float] | None = None) -> DataFrame:
     """Strings that look like keys: ``doc_id, start_byte, n_bytes, kind, entropy, from_byte, to_byte``.
 
-    Candidates are runs of letters, digits and ``+/=_-`` of 20 or more, either hexadecimal with letters and
-    digits, or with upper case, lower case and digits. One is a secret if the entropy of any window of 20
-    reaches the limit of its class (``entropy`` is the highest, ``from_byte`` to ``to_byte`` the union of the
+    Candidates are runs of letters, digits and ``+/=_-`` of 20 or more with a letter: hexadecimal with digits, of
+    all of upper case, lower case and digits, or (``upper``, ``lower``, ``letters``) of less, if they aren't ``readable``
+    (windows of these with a slash don't count). Digits and signs alone are left out. One is a secret if the entropy
+    of any window of 20 reaches the limit of its class (``entropy`` is the highest, ``from_byte`` to ``to_byte`` the union of the
     windows that reach it), unless it matches ``allowed`` or follows ``allowed_before``. Offsets are bytes of
     the text in UTF-8. The secret itself isn't returned. Null and empty texts give no rows; repeated rows give
     theirs each; a null id stays null. One narrow pass: no shuffle.
     """
-    scan = Scan(allowed, allowed_before, limits or LIMITS)
+    scan = Scan(allowed, allowed_before, limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -121,7 +146,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALLOWED, allowed_before: str = ALLOWED_BEFORE, limits: dict[str, float] | None = None) -> DataFrame:
     """``docs``, all rows and columns, with ``<secret>`` for each string that ``find_secrets`` reports; null texts stay null."""
-    at, columns, scan = docs.columns.index(text_col), list(docs.columns), Scan(allowed, allowed_before, limits or LIMITS)
+    at, columns, scan = docs.columns.index(text_col), list(docs.columns), Scan(allowed, allowed_before, limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
