@@ -22,7 +22,7 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.later_copies(_table(spark, sf_dir, "documents"))
+    return suffixdedup.drop_later_copies(_table(spark, sf_dir, "documents"))
 
 
 def op4_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from lexivane.llm import anchors, seedextend, suffixdedup
+from lexivane.llm import anchors, queries, seedextend, suffixdedup
 from tests.llm import brute
 from tests.llm.fixtures import odd_rows, prose, row, table
 
@@ -86,6 +86,20 @@ def test_odd_removal(spark):
     assert out.columns == table(spark).columns
 
 
+def test_query_removes(spark):
+    """The query gives whole documents, with the words of later copies gone and all others left."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    later, _ = brute.repeats(texts, anchors.LEAST)
+    gone = {}
+    for d, first, n in later:
+        gone.setdefault(d, set()).update(range(first, first + n))
+    want = {d: [w for i, w in enumerate((t or "").split()) if i not in gone.get(d, ())] for d, t in texts.items()}
+    out = queries.op3_longest_previous_factor(spark, "/root/testdata/sf0.001")
+    assert out.columns == docs.columns
+    assert {r["doc_id"]: r["text"].split() for r in out.collect()} == {d: w for d, w in want.items() if w or d not in gone}
+
+
 def test_smaller():
     import numpy as np
 
