@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lexivane.llm.shared import durable
+from lexivane.llm.shared import durable, forget
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return r[0], r[1]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges``, written, with their number and a hash of them all."""
+    seen = Observation()
+    out = durable(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "edges")
+    return out, (seen.get["n"], seen.get["x"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """For each node of ``edges`` (u, v: bigint) the least node of its component: ``node, root``.
+    """For each node of ``edges`` (u, v: bigint) the least node of its component: ``node, root``, written.
 
     Alternates large-star and small-star steps, which end after a logarithmic number of rounds in practice.
-    Each round's edges are written to the shared folder. Loops and repeated edges are fine; no edges give no rows.
+    Each round's edges are written to the shared folder, and those of the one before deleted. Loops and repeated edges are fine; no edges give no rows.
     """
-    e = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(e)
+    e, mark = _written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -29,10 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(least, "u")
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        after = durable(small.distinct(), "edges")
-        now = _mark(after)
+        after, now = _written(small.distinct())
+        forget(e)
         e = after
         if now == mark:
             break
         mark = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = durable(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    forget(e)
+    return out

@@ -11,7 +11,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivane.llm.shared import BROADCAST_BYTES, bounded, durable, slices, utf8
+from lexivane.llm.shared import durable, slices, small, utf8
 
 #: Bytes to a window, bytes that windows overlap, numbers of an embedding, widths of filters, filters of each width.
 WINDOW, OVERLAP, DEPTH, WIDTHS, FILTERS = 128, 4, 8, (2, 3, 4, 5), 8
@@ -101,24 +101,35 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: i
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """``rows`` labelled documents of each language, those whose ids and texts hash lowest: ``label, text``.
+    """``rows`` labelled documents of each language, those whose ids and texts hash lowest, or all if there are fewer: ``label, text``, written.
 
-    Hashes over what a language's number of documents makes nearly certain to be too high are left out at once, so
-    that no task sees more than some times ``rows`` of a language however many documents there are.
+    Repeated rows count as one. Hashes over what a language's number of rows makes nearly certain to be too high are looked at only where
+    the others, once repeated rows are put together, turn out to be too few; so the sample is the same as without that bound.
     """
-    label = docs[label_col].cast("string")
-    sizes = durable(docs.where(label.isNotNull()).groupBy(label.alias("_lv_label")).count(), "languages")
-    if 64 * sizes.count() <= BROADCAST_BYTES:
-        sizes = F.broadcast(sizes)
-    text = docs[text_col].cast("string")
+    label, text = docs[label_col].cast("string"), docs[text_col].cast("string")
     slim = docs.where(label.isNotNull() & (F.length(text) > 0)).select(label.alias("label"), text.alias("text"), F.xxhash64(docs[id_col], text).alias("h"))
-    share = (2 * rows + 100) / F.col("count")
-    low = slim.join(sizes, F.col("label") == F.col("_lv_label")).where(F.col("h") / 2.0**64 + 0.5 < share)
-    return low.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).where(F.col("n") <= rows).select("label", "text")
+    sizes = durable(slim.groupBy("label").agg(F.count("*").alias("size")).withColumn("share", (2 * rows + 100) / F.col("size")), "languages")
+
+    def lowest(some: DataFrame) -> DataFrame:
+        once = some.select("label", "text", "h").dropDuplicates(["label", "h"])
+        return once.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("n") <= rows).select("label", "text")
+
+    low = slim.join(small(sizes, 64), "label").where(F.col("h") / 2.0**64 + 0.5 < F.col("share"))
+    chosen = durable(lowest(low), "sample")
+    have = chosen.groupBy("label").agg(F.count("*").alias("have"))
+    few = durable(sizes.join(have, "label", "left").where((F.coalesce("have", F.lit(0)) < rows) & (F.col("share") < 1)).select("label"), "few")
+    if few.isEmpty():
+        return chosen
+    few = small(few, 64)
+    return durable(chosen.join(few, "label", "left_anti").unionByName(lowest(slim.join(few, "label"))), "sample")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS) -> Network | None:
-    """A network for the languages of ``label_col``, from ``rows`` documents of each at most; none without labels."""
+    """A network for the languages of ``label_col``, from ``windows`` windows of each of ``rows`` documents of each at most; none without labels.
+
+    Null labels, null and empty texts teach nothing; repeated rows count as one.
+    """
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w, count, _ = cut_windows(*utf8(b.column(1)))
@@ -130,7 +141,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
             yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in label], pa.string()), pa.array(out, pa.binary())], ["label", "window"])
 
     # only the windows come to the driver, not the texts
-    chosen = bounded(sample(docs, id_col, text_col, label_col, rows)).select("label", "text", F.xxhash64("text").alias("seed"))
+    chosen = sample(docs, id_col, text_col, label_col, rows).select("label", "text", F.xxhash64("text").alias("seed"))
     data = chosen.mapInArrow(cut, "label string, window binary").toPandas().sort_values(["label", "window"], key=lambda c: c.map(bytes) if c.name == "window" else c)
     if data.empty:
         return None
@@ -168,4 +179,4 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
                     share = pa.array(np.round(p.max(1), 6), mask=~some)
                 yield pa.RecordBatch.from_arrays([b.column(0), best, share, pa.array(count)], ["doc_id", "language", "probability", "n_windows"])
 
-    return bounded(docs).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)

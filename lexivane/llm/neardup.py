@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.llm.graph import components
-from lexivane.llm.shared import BROADCAST_BYTES, bounded, durable, row_key, runs, slices
+from lexivane.llm.shared import durable, row_key, runs, slices, small
 from lexivane.llm.wordhash import mix, ngrams, normal_words, whole
 
 #: Words to a shingle; slots of a signature, 16 bits each; slots in which near duplicates may differ.
 SHINGLE, SLOTS, MAX_DISTANCE = 3, 30, 17
 #: Chunks that a signature is split into. Of signatures within the distance some chunk has MAX_DISTANCE // CHUNKS errors at most.
 CHUNKS = 6
+#: Signatures that share a key and are compared in one task.
+BUCKET = 8192
 _rng = np.random.default_rng(8)
 _A = _rng.integers(1, 1 << 62, SLOTS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 62, SLOTS).astype(np.uint64)
@@ -63,7 +66,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 data = pa.Array.from_buffers(pa.binary(2 * SLOTS), len(sig), [None, pa.py_buffer(sig.astype("<u2").tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(some), b.column(1).filter(some), data], ["key", "doc_id", "sig"])
 
-    return bounded(docs).select(row_key(id_col, text_col).alias("key"), docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "key bigint, doc_id bigint, sig binary")
+    return docs.select(row_key(id_col, text_col).alias("key"), docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "key bigint, doc_id bigint, sig binary")
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -90,29 +93,78 @@ def chunk_keys(sig: np.ndarray, chunks: int = CHUNKS, errors: int = MAX_DISTANCE
     return out
 
 
-def _buckets(reps: DataFrame) -> DataFrame:
-    """Sets of signatures that share a key, each set once: ``bucket, rep, sig``."""
+def _keys(reps: DataFrame, errors: int, under: bool) -> DataFrame:
+    """``k, rep`` of ``reps``, or, of those that come ``under`` a key ``k`` of their own, of these keys' parts. With ``root`` if there is one."""
+    extra = [c for c in ("root",) if c in reps.columns]
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for all_rows in batches:
             for at in range(0, all_rows.num_rows, 4096):
                 b = all_rows.slice(at, 4096)
-                k = chunk_keys(_matrix(b.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), k.shape[1]))], ["k", "rep"])
+                k = chunk_keys(_matrix(b.column(1)), errors=errors)
+                if under:
+                    k = mix(k ^ b.column(2).to_numpy().view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15))
+                row = pa.array(np.repeat(np.arange(len(k)), k.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), b.column(0).take(row), *(b.column(c).take(row) for c in extra)], ["k", "rep", *extra])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in runs(batches):
-            k, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
+    return reps.select("rep", "sig", *(["k"] if under else []), *extra).mapInArrow(run, ", ".join(f"{c} bigint" for c in ("k", "rep", *extra)))
+
+
+def _sets(keyed: DataFrame) -> DataFrame:
+    """Sets of up to BUCKET ``reps`` that share a key (of several roots, if ``keyed`` has such), and the keys of larger ones, ``hot``, of which nothing is kept in memory."""
+    rooted = "root" in keyed.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, hot = None, None  # rows of a key that may go on; a key that is hot, so that its rows are passed over
+        for b in itertools.chain(batches, [None]):
+            cols = [c.to_numpy() for c in b.columns] if b is not None else None
+            if cols is not None and hot is not None:
+                keep = cols[0] != hot
+                cols = [c[keep] for c in cols]
+            if carry is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(carry, cols, strict=True)] if cols is not None else carry
+            carry = None
+            if cols is None or not len(cols[0]):
+                continue
+            k = cols[0]
             edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
             size = np.diff(edge)
-            keep = np.repeat(size > 1, size)
-            if keep.any():
-                offsets = np.concatenate([[0], np.cumsum(size[size > 1])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(rep[keep]))], ["reps"])
-
-    keyed = reps.select("rep", "sig").mapInArrow(keys, "k bigint, rep bigint")
-    sets = keyed.repartition("k").sortWithinPartitions("k", "rep").mapInArrow(meet, "reps array<bigint>")
-    return durable(sets.distinct(), "buckets").select(F.xxhash64("reps").alias("bucket"), F.explode("reps").alias("rep")).join(reps.select("rep", "sig"), "rep")
+            over = []
+            if b is not None:
+                if size[-1] > BUCKET:
+                    hot = k[-1]
+                    over.append(hot)
+                else:
+                    carry = [c[edge[-2] :] for c in cols]
+                edge, size = edge[:-1], size[:-1]
+            over += k[edge[:-1][size > BUCKET]].tolist()
+            good = (size > 1) & (size <= BUCKET)
+            if rooted and len(size):
+                r = cols[2][: edge[-1]]
+                good &= np.minimum.reduceat(r, edge[:-1]) != np.maximum.reduceat(r, edge[:-1])
+            keep = np.repeat(good, size)
+            offsets = np.concatenate([[0], np.cumsum(size[good]), np.full(len(over), size[good].sum())]).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cols[1][: len(keep)][keep]))
+            yield pa.RecordBatch.from_arrays([sets, pa.array([None] * int(good.sum()) + over, pa.int64())], ["reps", "hot"])
+
+    return durable(keyed.repartition("k").sortWithinPartitions("k", "rep").mapInArrow(run, "reps array<bigint>, hot bigint"), "sets")
+
+
+def _rows(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """``bucket, rep, sig`` of sets, each once however many keys have it."""
+    once = sets.where("hot is null").select("reps").distinct()
+    return once.select(F.xxhash64("reps").alias("bucket"), F.explode("reps").alias("rep")).join(reps.select("rep", "sig"), "rep")
+
+
+def _blocks(members: DataFrame, pairs: bool) -> DataFrame:
+    """``bucket, rep, sig`` of large sets (``k, rep, sig``) in blocks of about BUCKET; with ``pairs`` each two of a set's blocks together."""
+    size = members.groupBy("k").agg(F.ceil(F.count("*") / (BUCKET / 2)).alias("parts"))
+    part = F.pmod(F.xxhash64("rep", "k"), F.col("parts"))
+    rows = members.join(small(size, 24), "k").withColumn("part", part)
+    if not pairs:
+        return rows.select(F.xxhash64("k", "part").alias("bucket"), "rep", "sig")
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    return rows.select(F.xxhash64("k", F.least("part", "with"), F.greatest("part", "with")).alias("bucket"), "rep", "sig")
 
 
 def _tree(sig: np.ndarray, rep: np.ndarray, most: int) -> tuple[list, list, list]:
@@ -133,7 +185,9 @@ def _tree(sig: np.ndarray, rep: np.ndarray, most: int) -> tuple[list, list, list
     return a, b, d
 
 
-def _verified(reps: DataFrame, most: int, every: bool) -> DataFrame:
+def _verified(rows: DataFrame, most: int, every: bool) -> DataFrame:
+    """``u, v, distance`` of each bucket's pairs within ``most``, or, unless ``every``, of as many as join whatever these join."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches):
             k, rep, sig = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2))
@@ -148,22 +202,60 @@ def _verified(reps: DataFrame, most: int, every: bool) -> DataFrame:
                     for i in range(n - 1):
                         far = (s[i + 1 :] != s[i]).sum(1)
                         j = np.flatnonzero(far <= most)
-                        a, c, d = a + [int(r[i])] * len(j), c + r[i + 1 :][j].tolist(), d + far[j].tolist()
+                        a += [int(r[i])] * len(j)
+                        c += r[i + 1 :][j].tolist()
+                        d += far[j].tolist()
                 else:
                     x, y, z = _tree(s, r, most)
-                    a, c, d = a + x, c + y, d + z
+                    a += x
+                    c += y
+                    d += z
             u, v = np.array(a, np.int64), np.array(c, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(d, pa.int32())], ["u", "v", "distance"])
 
-    rows = _buckets(reps).select("bucket", "rep", "sig").repartition("bucket").sortWithinPartitions("bucket", "rep")
-    return rows.mapInArrow(verify, "u bigint, v bigint, distance int").distinct()
+    return rows.select("bucket", "rep", "sig").repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(verify, "u bigint, v bigint, distance int").distinct()
+
+
+def _pairs(reps: DataFrame, most: int, every: bool) -> DataFrame:
+    """Pairs of ``reps`` within ``most``: all, or, unless ``every``, as many as join whatever these join.
+
+    Signatures that share a key are compared in one task, up to BUCKET of them. Of a key that more have, one pass joins what is near
+    within blocks; those that are of several components still are parted by the keys of a second chunk, in which a pair has
+    MAX_DISTANCE // (CHUNKS - 1) errors at most; and sets that are too large even so are compared block by block, all blocks with each other.
+    """
+    errors = MAX_DISTANCE // CHUNKS
+    sets = _sets(_keys(reps, errors, False))
+    near = _verified(_rows(sets, reps), most, every)
+    hot = sets.where("hot is not null").select(F.col("hot").alias("k")).distinct()
+    if hot.isEmpty():
+        return near
+    members = durable(_keys(reps, errors, False).join(small(hot, 16), "k"), "hot")
+    # of keys with the same signatures, as those of a chunk that all agree in, one will do
+    alike = members.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x")).groupBy("n", "x").agg(F.min("k").alias("k")).select("k")
+    members = members.join(small(durable(alike, "alike"), 16), "k").join(reps.select("rep", "sig"), "rep")
+    if every:
+        members = durable(members.withColumn("root", F.col("rep")), "members")
+    else:
+        near = durable(near.unionByName(_verified(_blocks(members, False), most, False)), "near")
+        root = components(near.select("u", "v"))
+        members = members.join(root, F.col("rep") == F.col("node"), "left").select("k", "rep", "sig", F.coalesce("root", "rep").alias("root"))
+        several = members.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("k")
+        members = durable(members.join(small(durable(several, "several"), 16), "k"), "members")
+    further = _keys(members, MAX_DISTANCE // (CHUNKS - 1), True)
+    sets = _sets(further)
+    near = near.unionByName(_verified(_rows(sets, reps), most, every))
+    hot = sets.where("hot is not null").select(F.col("hot").alias("k")).distinct()
+    if not hot.isEmpty():
+        rest = further.select("k", "rep").distinct().join(small(hot, 16), "k").join(reps.select("rep", "sig"), "rep")
+        near = near.unionByName(_verified(_blocks(rest, True), most, every))
+    return near.distinct()
 
 
 def hamming_pairs(reps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """All pairs of ``reps`` (rep: bigint, sig: binary, both distinct) within the distance: ``u, v, distance``, u < v. None is missed."""
     if max_distance > MAX_DISTANCE:
         raise ValueError(f"the chunks guarantee distances up to {MAX_DISTANCE}")
-    return _verified(reps, max_distance, True)
+    return _pairs(reps, max_distance, True)
 
 
 def _rank() -> F.Column:
@@ -175,7 +267,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, max_distance: int) -> t
         raise ValueError(f"the chunks guarantee distances up to {MAX_DISTANCE}")
     sigs = durable(signatures(docs, id_col, text_col), "signatures")
     reps = durable(sigs.groupBy("sig").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "reps")
-    near = components(_verified(reps, max_distance, False).select("u", "v"))
+    near = components(_pairs(reps, max_distance, False).select("u", "v"))
     of = reps.join(near, reps.rep == near.node, "left").where("n > 1 or root is not null").select("sig", F.coalesce("root", "rep").alias("root"))
     members = sigs.join(of, "sig").select("key", "doc_id", "root")
     firsts = members.groupBy("root").agg(F.min(_rank()).alias("first"), F.count("*").alias("n_docs"))
@@ -192,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without a near duplicate. Repeated rows form a group and appear each.
 
     Equal signatures are joined once for all, so thousands of copies cost no more than one. In a set of
-    signatures under one key a search by distance follows the connections instead of listing all pairs.
+    signatures under one key a search by distance follows the connections instead of listing all pairs; see ``_pairs`` for large sets.
     """
     return _groups(docs, id_col, text_col, max_distance)[1].select("doc_id", "keep_doc_id", "n_docs")
 
@@ -200,14 +292,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``docs``, all columns, with one document of each group of near duplicates: that of the lowest doc_id, null ids last.
 
-    Texts without a word stay. Of repeated rows one stays; where they differ in other columns, any of them.
+    Texts without a word stay. Of repeated rows one stays; where they differ in other columns, that whose columns as JSON sort first.
     """
     sigs, groups = _groups(docs, id_col, text_col, max_distance)
     gone = durable(groups.where("key <> keep_key").select(F.col("key").alias("_lv_key")).distinct(), "gone")
     repeated = durable(sigs.groupBy(F.col("key").alias("_lv_key")).count().where("count > 1").select("_lv_key"), "repeated")
-    if 16 * gone.count() <= BROADCAST_BYTES:
-        gone = F.broadcast(gone)  # else the texts are shuffled by key
-    out = docs.withColumn("_lv_key", row_key(id_col, text_col)).join(gone, "_lv_key", "left_anti")
+    out = docs.withColumn("_lv_key", row_key(id_col, text_col)).join(small(gone, 16), "_lv_key", "left_anti")  # else the texts are shuffled by key
     if not repeated.isEmpty():
-        out = out.join(repeated, "_lv_key", "left_anti").unionByName(out.join(repeated, "_lv_key", "left_semi").dropDuplicates(["_lv_key"]))
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        first = out.join(small(repeated, 16), "_lv_key", "left_semi").groupBy("_lv_key").agg(F.min_by(row, F.to_json(row)).alias("_lv_row"))
+        out = out.join(small(repeated, 16), "_lv_key", "left_anti").unionByName(first.select("_lv_key", *[F.col(f"_lv_row.`{c}`") for c in docs.columns]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

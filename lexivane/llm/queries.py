@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexivane.llm import decontaminate, langid, neardup, packing, quality, secrets, seedextend, suffixdedup, tokenids, toxicity
+from lexivane.llm.shared import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -18,11 +20,11 @@ def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.drop_frequent_lines(_table(spark, sf_dir, "documents"))
+    return quality.drop_frequent_lines(_table(spark, sf_dir, "documents"), size_col="n_chars")
 
 
 def op3_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.drop_later_copies(_table(spark, sf_dir, "documents"))
+    return suffixdedup.drop_later_copies(_table(spark, sf_dir, "documents"), size_col="n_chars")
 
 
 def op4_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +61,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simple8b, op2_line_frequency, op3_longest_previous_factor, op4_related_packing, op5_decontaminate, op6_entropy_secrets, op7_byte_cnn, op8_near_duplicates, op9_seed_extend, op10_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_frequency": quality.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_line_frequency": quality.ORACLE, "op3_longest_previous_factor": suffixdedup.ORACLE}

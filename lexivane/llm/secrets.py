@@ -9,9 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lexivane.llm.shared import bounded, slices, utf8
+from lexivane.llm.shared import resized, slices, utf8
 
 #: Characters to a window, and the fewest of a candidate.
 WINDOW = 20
@@ -141,23 +140,32 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         ["doc_id", "start_byte", "n_bytes", "kind", "entropy", "from_byte", "to_byte"],
                     )
 
-    return bounded(docs).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALLOWED, allowed_before: str = ALLOWED_BEFORE, limits: dict[str, float] | None = None) -> DataFrame:
-    """``docs``, all rows and columns, with ``<secret>`` for each string that ``find_secrets`` reports; null texts stay null."""
+def redact_secrets(docs: DataFrame, text_col: str = "text", allowed: tuple[str, ...] = ALLOWED, allowed_before: str = ALLOWED_BEFORE, limits: dict[str, float] | None = None, size_col: str | None = None) -> DataFrame:
+    """``docs``, all rows and columns, with ``<secret>`` for each string that ``find_secrets`` reports; ``size_col`` names one to hold the characters there are then.
+
+    Null and empty texts stay as they are, and so do repeated rows and null ids; an empty table stays empty. A text is rebuilt once,
+    however long it is and however many secrets it has.
+    """
     at, columns, scan = docs.columns.index(text_col), list(docs.columns), Scan(allowed, allowed_before, limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, at):
                 if rows := list(scan(b.column(at))):
-                    text = b.column(at).to_pylist()
-                    for d, s, e, *_ in reversed(rows):
-                        data = text[d].encode()
-                        text[d] = (data[:s] + MARK.encode() + data[e:]).decode()
+                    text, cuts = b.column(at).to_pylist(), {}
+                    for d, first, stop, *_ in rows:
+                        cuts.setdefault(d, []).append((first, stop))
+                    for d, spans in cuts.items():
+                        data, parts, end = text[d].encode(), [], 0
+                        for first, stop in spans:
+                            parts += [data[end:first], MARK.encode()]
+                            end = stop
+                        text[d] = b"".join([*parts, data[end:]]).decode()
                     b = pa.RecordBatch.from_arrays([pa.array(text, b.column(at).type) if i == at else c for i, c in enumerate(b.columns)], columns)
                 yield b
 
-    out = bounded(docs).mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length(text_col).cast("bigint")) if "n_chars" in columns else out
+    out = docs.mapInArrow(run, docs.schema)
+    return resized(out, text_col, size_col)

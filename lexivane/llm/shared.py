@@ -19,9 +19,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, from ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder all executors see, from ``spark.checkpoint.dir``.
+
+    Where that is unset a session of one process, as in tests, takes a temporary folder; a cluster's is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="lexivane-")
         _own[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
@@ -35,17 +41,35 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexivane/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lv_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder from whatever file system it is on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``durable`` that nothing reads any more: all that came of them is written."""
+    for t in tables:
+        delete(t.sparkSession, t._lv_path)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, its session's Arrow batches kept to BATCH_BYTES unless set otherwise.
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, marked for broadcast if its rows, counted, stay within BROADCAST_BYTES; else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
-    Batches go by rows alone by default: ten thousand long texts would take gigabytes, and past two don't fit one at all.
+
+def small_batches(spark: SparkSession) -> None:
+    """For programs, not operators: keeps the session's Arrow batches to BATCH_BYTES unless they are set.
+
+    Operators cut the batches they get, so they work with any; smaller ones take less of an executor's memory.
     """
-    if df.sparkSession.conf.get(_BATCH, None) is None:
-        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
-    return df
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -56,6 +80,20 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
+def resized(docs: DataFrame, text_col: str, size_col: str | None) -> DataFrame:
+    """``docs`` with the characters of the text in ``size_col``, if one is named."""
+    return docs if size_col is None else docs.withColumn(size_col, F.length(text_col).cast("bigint"))
+
+
+def once(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with one row of each ``key``. Only rows whose key is repeated are moved, and combined before that; usually there are none."""
+    again = durable(keyed.groupBy("key").count().where("count > 1").select(F.col("key").alias("in_key")), "again")
+    if again.isEmpty():
+        return keyed
+    again, same = small(again, 16), F.col("key") == F.col("in_key")
+    return keyed.join(again, same, "left_anti").unionByName(keyed.join(again, same, "left_semi").dropDuplicates(["key"]))
+
+
 def slices(batch: pa.RecordBatch, text: int, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows of about ``max_bytes`` of text, one row at least, so that arrays stay in cache."""
     if not batch.num_rows:
@@ -77,7 +115,7 @@ def _offset_at(col: pa.Array) -> int:
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and the n + 1 offsets of its rows; a null is an empty text."""
+    """The bytes of a string or binary column and the n + 1 offsets of its rows; a null is empty."""
     if col.null_count:
         col = col.fill_null("" if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) else b"")
     buffers = col.buffers()

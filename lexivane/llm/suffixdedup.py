@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.llm.anchors import LEAST, LEFT, SPAN, SPANS, bucketed, contexts, merged, span_batch
-from lexivane.llm.shared import durable, row_key
+from lexivane.llm.anchors import LEAST, LEFT, SPAN, id_or_null, keyed, of_places, passages, rle, unpacked
+from lexivane.llm.shared import BROADCAST_BYTES, durable, forget, once, resized, row_key, runs, slices, utf8
 from lexivane.llm.wordhash import SPACED, mix, powers, words
 
 _Q = np.uint64(0x8CB92BA72F3D8DD7)
 _LEVELS = (1, 2, 4, 8, 16, 32)
+_SPACES = " \t\n\v\f\r\x1c\x1d\x1e\x1f"
 
 
 def prefix_ranks(m: np.ndarray) -> list[np.ndarray]:
@@ -67,11 +68,11 @@ def _by(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
     return np.lexsort((minor, major))
 
 
-def longest_previous(m: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def longest_previous(m: np.ndarray, position: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Longest previous factors of LEAST symbols and more.
 
     ``m`` has a row of symbols to each context, 0 for none; ``position`` orders the places of the text that its
-    symbols come from. Gives flat places, the lengths of their longest factor that also begins at a smaller
+    symbols come from; ``within`` can leave places out. Gives flat places, the lengths of their longest factor that also begins at a smaller
     position, and where: the better of the previous and the next smaller position in suffix order.
     """
     # rows of equal symbols, as whole copies have, are sorted once
@@ -84,7 +85,7 @@ def longest_previous(m: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, n
     _, full = np.unique(first << 32 | beyond, return_inverse=True)
     kind, full = kind.reshape(first.shape), full.reshape(first.shape)
     valid = (m[:, :starts] != 0) & (m[:, LEAST - 1 : LEAST - 1 + starts] != 0)
-    row, col = np.nonzero(valid)
+    row, col = np.nonzero(valid if within is None else valid & within)
     kinds = kind[same[row], col]
     keep = np.bincount(kinds)[kinds] > 1 if len(row) else valid[:0, 0]  # others share no LEAST symbols with any
     row, col = row[keep], col[keep]
@@ -118,64 +119,120 @@ def longest_previous(m: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, n
     return flat[found], best[found], flat[where[found]]
 
 
-def _each(anchor, doc, key, at, m) -> Iterator[pa.RecordBatch]:
+def earlier(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Of each run of words around an anchor the first place, where it has more than one: the end of the chain of its longest previous factors.
+
+    A factor of LEAST words and more leads to a smaller position of the same run of words, so following factors leads to the first.
+    """
+    anchor, ctx = b.column(0).to_numpy(), b.column(1).to_numpy()
+    m = utf8(b.column(4))[0].view("<u4").reshape(-1, SPAN)
+    doc, key, word = of_places(b.column(2))
+    at, lo, hi, _ = unpacked(word)
     order = np.lexsort((key, doc))
     step = np.concatenate([[False], (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1])])
     rank = np.empty(len(doc), np.int64)
     rank[order] = np.cumsum(step)
-    bits = (int(at.max()) + SPAN).bit_length()
-    position = (rank << bits | at.astype(np.int64))[:, None] + np.arange(SPAN)
-    flat, n, other = longest_previous(m, position)
-    if not len(flat):
-        return
-    order = np.lexsort((flat % SPAN, -n, flat // SPAN))
-    flat, n, other = flat[order], n[order], other[order]
-    row, begin = flat // SPAN, at[flat // SPAN] - LEFT + flat % SPAN
-    head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    start, stop = np.minimum.reduceat(begin, head), np.maximum.reduceat(begin + n, head)  # all hold the anchor, so they overlap
-    r, o, oc = row[head], other[head] // SPAN, other[head] % SPAN
-    yield span_batch(key[r], doc[r], start, stop, key[o], doc[o], at[o] - LEFT + oc - (begin[head] - start))
+    position = (rank << (int(at.max()) + SPAN).bit_length() | at)[:, None] + np.arange(SPAN)
+    c = np.arange(SPAN - LEAST + 1)
+    within = (c >= lo[:, None]) & (c <= hi[:, None])
+    flat, _, where = longest_previous(m, position, within)
+    link = np.arange(m.size)
+    link[flat] = where
+    while (link[link[flat]] != link[flat]).any():
+        link[flat] = link[link[flat]]
+    # contexts of more than one document have runs with no factor too, at the first of these
+    other_doc, other_key, other_word = of_places(b.column(3))
+    plural = (other_key != key) | (other_word != word)
+    row, c = np.nonzero(within)
+    root = link[row * SPAN + c]
+    keep = (root != row * SPAN + c) | plural[row]
+    row, c, root = row[keep], c[keep], root[keep]
+    r = root // SPAN
+    e = (doc[r], key[r], at[r] - LEFT + root % SPAN)
+    return rle(anchor[row], ctx[row], c, e, (doc[row], key[row], at[row] - LEFT + c))
 
 
 def _later(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return merged(bucketed(contexts(docs, id_col, text_col), _each, SPANS))
+    return passages(once(keyed(docs, id_col, text_col)), earlier, True, False)
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of 50 words and more that occur before: ``doc_id, start_word, n_words, first_doc_id, first_start_word``.
 
-    Words are what white space parts. A place of a text is in a passage if a run of 50 words over it also
-    begins at an earlier place: in a document of lower doc_id (null ids come last), or earlier in the same
-    one. So the first copy of anything is never reported, and all others are. ``first_*`` is the earlier place of
-    the passage's longest factor. Repeated rows count as one document; null, empty and short texts give no rows.
+    Words are what white space parts. A row's words are those at ``first_start_word`` of the other document (or of the same
+    one), and each run of 50 of them occurs there first of all: in the document of lowest doc_id (null ids come last), at the
+    earliest word. So the first copy of anything is never reported, and all others are; where a passage was put together of several,
+    it has a row for each, which overlap by up to 49 words. Repeated rows count as one document; null, empty and short texts give no rows.
 
     Suffixes are compared only where they can agree on 50 words: each such run holds a winnowed anchor, and
     suffixes around the same anchor are sorted together, by prefix doubling.
     """
-    return _later(docs, id_col, text_col).drop("key").withColumnsRenamed({"other_doc_id": "first_doc_id", "other_start_word": "first_start_word"})
-
-
-def drop_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the words of ``later_copies``; texts of which no word is left go, others stay, null ones too."""
-    spans = durable(_later(docs, id_col, text_col).groupBy(F.col("key").alias("_lv_key")).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("_lv_cut")), "cuts")
+    spans = _later(docs, id_col, text_col)
+    return spans.select(id_or_null("doc", "doc_id"), F.col("start").alias("start_word"), (F.col("stop") - F.col("start")).alias("n_words"), id_or_null("other_doc", "first_doc_id"), F.col("other_start").alias("first_start_word"))
 
-    @F.pandas_udf("string")
-    def without(text, spans):
-        return text.where(spans.isna(), [t if s is None else _cut(t, s) for t, s in zip(text, spans, strict=True)])
 
-    out = docs.withColumn("_lv_key", row_key(id_col, text_col)).join(spans, "_lv_key", "left")
-    out = out.withColumn(text_col, F.when(F.col("_lv_cut").isNull(), F.col(text_col)).otherwise(without(text_col, "_lv_cut"))).where(F.col("_lv_cut").isNull() | F.col(text_col).rlike(r"\S"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast("bigint"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None) -> DataFrame:
+    """``docs``, all columns, without the words of ``later_copies``; ``size_col`` names one to hold the characters left, others are untouched.
 
-
-def _cut(text: str, spans) -> str:
+    Texts of which no word is left go; others stay, null and empty ones too. Repeated rows count as one document: all of them stay
+    or go alike.
+    """
+    spans = _later(docs, id_col, text_col)
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runs(batches):
+            key, start, stop = (c.to_numpy() for c in b.columns)
+            base = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) << 40
+            reach = np.maximum.accumulate(base + stop)
+            head = np.flatnonzero(np.concatenate([[True], base[1:] + start[1:] > reach[:-1]]))
+            end = np.concatenate([head[1:], [len(key)]])
+            yield pa.RecordBatch.from_arrays([pa.array(key[head]), pa.array(start[head]), pa.array(reach[end - 1] - base[head])], ["_lv_key", "start", "stop"])
+
+    cuts = spans.select("key", "start", "stop").repartition("key").sortWithinPartitions("key", "start").mapInArrow(united, "_lv_key bigint, start bigint, stop bigint")
+    cuts = durable(cuts.groupBy("_lv_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_lv_cut")), "cuts")
+    size = cuts.agg(F.coalesce(F.sum(16 + 16 * F.size("_lv_cut")), F.lit(0))).first()[0]
+    forget(spans)
+    if size <= BROADCAST_BYTES:
+        cuts = F.broadcast(cuts)
+    at, columns = docs.columns.index(text_col), list(docs.columns)
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, at):
+                spans, text = b.column(len(columns)), b.column(at)
+                if spans.null_count < len(spans):
+                    hit = np.flatnonzero(~np.asarray(spans.is_null()))
+                    new = text.to_pylist()
+                    for i in hit.tolist():
+                        new[i] = _cut(new[i], [(x["start"], x["stop"]) for x in spans[i].as_py()])
+                    text = pa.array(new, text.type)
+                    keep = np.ones(len(text), bool)
+                    keep[hit] = [bool(new[i].strip(_SPACES)) for i in hit.tolist()]
+                    b = pa.RecordBatch.from_arrays([text if i == at else b.column(i) for i in range(len(columns))], columns).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(columns))], columns)
+
+    out = docs.withColumn("_lv_key", row_key(id_col, text_col)).join(cuts, "_lv_key", "left")
+    return resized(out.select(*[F.col(f"`{c}`") for c in columns], "_lv_cut").mapInArrow(without, docs.schema), text_col, size_col)
+
+
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     data = text.encode()
     w = words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), SPACED)
     out, at = [], 0
-    for s in spans:
-        first, n = s["start_word"], s["n_words"]
-        out.append(data[at : int(w.start[first])])
-        at = int(w.start[first + n]) if first + n < len(w.start) else len(data)
+    for first, stop in sorted(spans):
+        out.append(data[at : max(at, int(w.start[first]))])
+        at = max(at, int(w.start[stop]) if stop < len(w.start) else len(data))
     return b"".join([*out, data[at:]]).decode()
+
+
+ORACLE = f"""
+WITH t AS (SELECT *, regexp_extract_all(text, '\\S+') AS words, regexp_extract_all(text, '\\S+\\s*') AS parts, regexp_extract(text, '^\\s*') AS head FROM documents),
+r AS (SELECT doc_id, i, doc_id * 100000000 + i AS place, array_to_string(words[i:i + {LEAST - 1}], ' ') AS run FROM (SELECT doc_id, words, unnest(range(1, len(words) - {LEAST - 2})) AS i FROM t WHERE len(words) >= {LEAST})),
+f AS (SELECT run, min(place) AS first FROM r GROUP BY run HAVING count(*) > 1),
+later AS (SELECT doc_id, i FROM r JOIN f USING (run) WHERE place > first),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {LEAST})) AS p FROM later),
+p AS (SELECT doc_id, head, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS p FROM t WHERE doc_id IN (SELECT doc_id FROM later)),
+k AS (SELECT p.doc_id, head || string_agg(part, '' ORDER BY p.p) AS text FROM p ANTI JOIN gone ON gone.doc_id = p.doc_id AND gone.p = p.p GROUP BY p.doc_id, head)
+SELECT doc_id, text, lang, source, CAST(length(text) AS BIGINT) AS n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM later)
+UNION ALL SELECT d.doc_id, k.text, d.lang, d.source, CAST(length(k.text) AS BIGINT) FROM documents d JOIN k USING (doc_id)
+"""

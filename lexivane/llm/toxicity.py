@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.llm.neardup import drop_near_duplicates
-from lexivane.llm.shared import bounded, durable, slices, utf8
+from lexivane.llm.shared import durable, slices, utf8
 
 #: Whole words and their weights, after folding.
 LEXICON = {
@@ -58,12 +58,12 @@ for _k, _v in _DIGITS.items():
 _EURO = (0xE2, 0x82, 0xAC)
 
 
-def fold(buf: np.ndarray, off: np.ndarray, plain: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def fold(buf: np.ndarray, off: np.ndarray, plain: bool = True, tails: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Texts as words of plain letters, one blank between them and at either end, and their offsets.
 
     Case, accents and look-alike letters of other scripts are folded (without ``plain`` case only); invisible characters go; digits and
     signs that stand for letters become these if a letter follows, as in ``1d10t`` or ``$tupid``, and are
-    blanks otherwise, as in ``stupid$$$``.
+    blanks otherwise, as in ``stupid$$$``; with ``tails`` they also do if one goes before, as in ``dumba$$``.
     """
     buf, gone = _LOWER[buf], np.zeros(len(buf), bool)
     if len(buf) and buf.max() >= 0x80:
@@ -97,6 +97,10 @@ def fold(buf: np.ndarray, off: np.ndarray, plain: bool = True) -> tuple[np.ndarr
         follows = e < len(buf)
         follows[follows] = _LETTER[buf[e[follows]]]
         follows &= off[np.searchsorted(off, e - 1, "right")] > e  # within the document
+        if tails:
+            goes = s > 0
+            goes[goes] = _LETTER[buf[s[goes] - 1]]
+            follows |= goes & (off[np.searchsorted(off, s, "right") - 1] < s)
         inside = np.zeros(len(buf) + 1, np.int8)
         inside[s[follows]], inside[e[follows]] = 1, -1
         put = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
@@ -130,7 +134,52 @@ def hits(text: str, automaton) -> list[tuple[int, float]]:
     found, safe = [], []
     for end, (weight, n) in automaton.iter(text):
         (safe if weight is None else found).append((end - n, end, weight))
-    return [(s, w) for s, e, w in found if not any(a <= s and e <= b for a, b, _ in safe)] if safe else [(s, w) for s, _, w in found]
+    if not safe or not found:
+        return [(s, w) for s, _, w in found]
+    begin, end = np.array(sorted((a, b) for a, b, _ in safe)).T
+    reach = np.maximum.accumulate(end)  # the furthest end of the exceptions that begin so far
+    s, e = np.array([(s, e) for s, e, _ in found]).T
+    at = np.searchsorted(begin, s, "right") - 1
+    held = (at >= 0) & (reach[at] >= e)
+    return [(s, w) for (s, _, w), h in zip(found, held.tolist(), strict=True) if not h]
+
+
+def _word_starts(buf: np.ndarray) -> np.ndarray:
+    starts = _LETTER[buf]
+    starts[1:] &= ~_LETTER[buf[:-1]]
+    return starts
+
+
+def _tailed(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The rows in which a digit or sign that stands for a letter comes right after a letter."""
+    at = np.flatnonzero((_SUB[buf[1:]] > 0) & (_LETTER[_LOWER[buf[:-1]]] | (_SUB[buf[:-1]] > 0)))
+    return np.unique(np.searchsorted(off, at, "right") - 1)
+
+
+def counted(col: pa.Array, automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word of the row and weight of each match of a lexicon, and how many words each row has.
+
+    Texts are read twice where signs at the end of a word may be letters or none; a word counts once, as what weighs most.
+    """
+    best: dict[tuple[int, int], float] = {}
+    n = np.zeros(len(col), np.int64)
+    for tails in (False, True):
+        rows = np.arange(len(col)) if not tails else _tailed(*utf8(col))
+        if not len(rows):
+            break
+        buf, off = fold(*utf8(col.take(pa.array(rows)) if tails else col), tails=tails)
+        total = np.concatenate([[0], np.cumsum(_word_starts(buf))])
+        if not tails:
+            n = np.diff(total[off])
+        for place, w in hits(buf.tobytes().decode("latin-1"), automaton):
+            r = int(np.searchsorted(off, place, "right")) - 1
+            key = (int(rows[r]), int(total[place] - total[off[r]]))
+            best[key] = max(best.get(key, 0.0), w)
+    if not best:
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(0), n
+    at = np.array(list(best))
+    return at[:, 0], at[:, 1], np.array(list(best.values())), n
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = LABEL_ROWS) -> dict[str, float]:
@@ -156,7 +205,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     total = {bool(t): n for t, n in sample.groupBy(F.col("toxic") > 0).count().collect()}
     if len(total) < 2:
         return {}
-    counts = bounded(sample).select("text", "toxic").mapInArrow(run, "word string, toxic int").groupBy("word").agg(F.sum((F.col("toxic") > 0).cast("int")).alias("a"), F.sum((F.col("toxic") <= 0).cast("int")).alias("b"))
+    counts = sample.select("text", "toxic").mapInArrow(run, "word string, toxic int").groupBy("word").agg(F.sum((F.col("toxic") > 0).cast("int")).alias("a"), F.sum((F.col("toxic") <= 0).cast("int")).alias("b"))
     marks = counts.where((F.col("a") >= LEAST_MARKED) & (F.col("a") / total[True] >= LEAST_RATIO * (F.col("b") + 0.5) / total[False]))
     return {r["word"]: LEARNED for r in marks.select("word").collect()}
 
@@ -177,25 +226,23 @@ def score_toxicity(
     words = tuple(sorted(words.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = [(_automaton(w, tuple(exceptions)), plain) for w, plain in ((words, True), (extra, False)) if w]
+        lexical, marks = (_automaton(w, tuple(exceptions)) if w else None for w in (words, extra))
         for whole in batches:
             for b in slices(whole, 1):
                 n = b.num_rows
                 weight, count = np.zeros(n), np.zeros(n, np.int64)
-                buf, off = fold(*utf8(b.column(1)))
-                for automaton, plain in passes:
-                    text, at = (buf, off) if plain else fold(*utf8(b.column(1)), plain=False)
-                    if h := hits(text.tobytes().decode("latin-1"), automaton):
+                d, _, w, size = counted(b.column(1), lexical or _automaton((), ()))
+                np.add.at(weight, d, w)
+                np.add.at(count, d, 1)
+                if marks:
+                    buf, off = fold(*utf8(b.column(1)), plain=False)
+                    if h := hits(buf.tobytes().decode("latin-1"), marks):
                         place, w = map(np.array, zip(*h, strict=True))
-                        d = np.searchsorted(at, place, "right") - 1
+                        d = np.searchsorted(off, place, "right") - 1
                         np.add.at(weight, d, w)
                         np.add.at(count, d, 1)
-                starts = _LETTER[buf]
-                starts[1:] &= ~_LETTER[buf[:-1]]
-                total = np.concatenate([[0], np.cumsum(starts)])[off]
-                size = np.diff(total)
                 score = np.round(100 * weight / np.maximum(size, 1), 6)
                 keep = (score >= rate) & (weight >= least) if only_toxic else np.ones(n, bool)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(np.round(weight, 6)), pa.array(count), pa.array(size)], ["doc_id", "score", "weight", "n_hits", "n_words"]).filter(pa.array(keep))
 
-    return bounded(docs).select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -19,36 +19,60 @@ def components(nodes, pairs):
     return {n: find(n) for n in nodes}
 
 
-def merge(starts, n):
-    out = []
-    for i in sorted(starts):
-        if out and i <= out[-1][1]:
-            out[-1][1] = i + n
-        else:
-            out.append([i, i + n])
-    return [(a, b - a) for a, b in out]
-
-
 def runs_of(words, n):
     return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
+SPACES = " \t\n\v\f\r\x1c\x1d\x1e\x1f"
+
+
+def split(text):
+    return [w for w in re.split(f"[{SPACES}]+", text or "") if w]
+
+
 def repeats(texts, n):
-    """Later copies and all copies of runs of n words, as merged spans by document."""
-    split = {d: re.split(r"[ \t\n\v\f\r\x1c-\x1f]+", t.strip(" \t\n\v\f\r\x1c-\x1f")) if t and t.strip(" \t\n\v\f\r\x1c-\x1f") else [] for d, t in texts.items()}
+    """Later copies, and all repeats, as the two operators define them: document, first word, words, the other document, and its first word."""
+    words = {d: split(t) for d, t in texts.items()}
     where = defaultdict(list)
-    for d in sorted(split):
-        for i, r in enumerate(runs_of(split[d], n)):
+    for d in sorted(words):
+        for i, r in enumerate(runs_of(words[d], n)):
             where[r].append((d, i))
-    later, every = defaultdict(list), defaultdict(list)
+    first, last = {}, {}
     for places in where.values():
-        for k, (d, i) in enumerate(places):
-            if k:
-                later[d].append(i)
-            if len(places) > 1:
-                every[d].append(i)
-    flat = lambda x: {(d, a, k) for d, s in x.items() for a, k in merge(s, n)}
-    return flat(later), flat(every)
+        if len(places) > 1:
+            for p in places:
+                first[p], last[p] = places[0], places[-1]
+
+    def chained(firsts):
+        on = defaultdict(list)
+        for d, i in sorted(first):
+            other = first[d, i]
+            if other == (d, i):
+                if not firsts:
+                    continue
+                other = last[d, i]
+            on[d, other[0], i - other[1]].append(i)
+        out = set()
+        for (d, o, diagonal), starts in on.items():
+            for k, i in enumerate(starts):
+                if not k or starts[k - 1] != i - 1:
+                    begin = i
+                if k + 1 == len(starts) or starts[k + 1] != i + 1:
+                    out.add((d, begin, i - begin + n, o, begin - diagonal))
+        return out
+
+    every, reach = set(), {}
+    for d, s, k, o, t in sorted(chained(True)):
+        x, y = words[d], words[o]
+        if s + k <= reach.get((d, o), -1):
+            continue
+        while s and t and x[s - 1] == y[t - 1]:
+            s, t, k = s - 1, t - 1, k + 1
+        while s + k < len(x) and t + k < len(y) and x[s + k] == y[t + k]:
+            k += 1
+        reach[d, o] = max(reach.get((d, o), -1), s + k)
+        every.add((d, s, k, o, t))
+    return chained(False), every
 
 
 def entropy(s):

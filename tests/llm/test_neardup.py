@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexivane.llm import neardup
+from lexivane.llm import neardup, shared
 from lexivane.llm.graph import components
+from lexivane.llm.shared import durable
 from tests.llm import brute
 from tests.llm.fixtures import ids, odd_rows, prose, row, table
 
@@ -33,6 +34,49 @@ def test_all_pairs_within_the_distance(spark):
         neardup.hamming_pairs(df, neardup.MAX_DISTANCE + 1)
 
 
+def same_pairs(m, most):
+    return {(j, i, int((m[i] != m[j]).sum())) for i in range(len(m)) for j in np.flatnonzero((m[:i] != m[i]).sum(1) <= most).tolist()}
+
+
+@pytest.mark.parametrize("bucket", [50, 4])
+def test_large_sets(spark, monkeypatch, bucket):
+    """Sets over the limit: the same pairs, and the same groups, by further keys and by blocks."""
+    monkeypatch.setattr(neardup, "BUCKET", bucket)
+    rng = np.random.default_rng(4)
+    m = rng.integers(0, 1 << 16, (300, neardup.SLOTS)).astype("<u2")
+    m[:, :5] = 7  # all share a chunk
+    m[100:200, 5:15] = 9  # and some three
+    for i in range(0, 300, 3):
+        m[i + 1] = m[i]
+        m[i + 1, rng.permutation(neardup.SLOTS)[: rng.integers(0, 20)]] += 1
+    m = np.unique(m, axis=0)
+    df = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(m)], "rep bigint, sig binary")
+    want = same_pairs(m, neardup.MAX_DISTANCE)
+    assert {tuple(r) for r in neardup.hamming_pairs(df).collect()} == want
+    joined = {r["node"]: r["root"] for r in components(neardup._pairs(df, neardup.MAX_DISTANCE, False).select("u", "v")).collect()}
+    root = brute.components(range(len(m)), [p[:2] for p in want])
+    assert joined == {n: r for n, r in root.items() if sum(x == r for x in root.values()) > 1}
+
+
+def test_many_unrelated_under_one_key(spark):
+    """100,000 signatures that share a chunk and nothing else, and a few near ones among them."""
+    rng = np.random.default_rng(5)
+    m = rng.integers(0, 1 << 16, (100_000, neardup.SLOTS)).astype("<u2")
+    m[:, :5] = 3
+    for i in range(10):
+        m[50_000 + i] = m[i]
+        m[50_000 + i, 5:22] += 1
+    rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(m)], "rep bigint, sig binary").repartition(4)
+    got = {(r["u"], r["v"]) for r in neardup._pairs(durable(rows, "reps"), neardup.MAX_DISTANCE, False).collect()}
+    assert got == {(i, 50_000 + i) for i in range(10)}
+
+
+def test_repeated_rows_that_differ_elsewhere(spark):
+    rows = [row(1, "a b c d", "z"), row(1, "a b c d", "b"), row(1, "a b c d", "c")]
+    for part in (1, 3):
+        assert [r["source"] for r in neardup.drop_near_duplicates(table(spark, rows).repartition(part)).collect()] == ["b"]
+
+
 def test_pigeonhole():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 16, (300, neardup.SLOTS)).astype(np.uint16)
@@ -76,7 +120,7 @@ def test_many_copies(spark):
 
 
 def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
     rows = [row(i, prose(i // 2, 80)) for i in range(12)] + [row(0, prose(0, 80))]
     assert ids(neardup.drop_near_duplicates(table(spark, rows))) == [0, 2, 4, 6, 8, 10]
 

@@ -1,4 +1,8 @@
+import random
+
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lexivane.llm import anchors, queries, seedextend, suffixdedup
 from tests.llm import brute
@@ -25,38 +29,85 @@ def corpus():
     }
 
 
-def spans(df):
-    return {tuple(r[:3]) for r in df.collect()}
+def rows_of(df):
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got))
+    return set(got)
 
 
-def test_against_brute_force(spark):
-    texts = corpus()
+def touching():
+    """Passages of two documents end to end in a third."""
+    x, y = prose("x", 70), prose("y", 55)
+    return {1: f"{x} {prose(1, 20)}", 2: f"{y} {prose(2, 20)}", 3: f"{prose(3, 5)} {y} {x} {prose(4, 10)}"}
+
+
+@pytest.fixture(params=[anchors.MOST, 1])
+def most(request, monkeypatch):
+    """Contexts of an anchor within one task, and each run of words by itself."""
+    monkeypatch.setattr(anchors, "MOST", request.param)
+
+
+@pytest.mark.parametrize("make", [corpus, touching])
+def test_against_brute_force(spark, most, make):
+    texts = make()
     df = table(spark, [row(d, t) for d, t in texts.items()]).repartition(3)
     later, every = brute.repeats(texts, anchors.LEAST)
     assert later
-    assert spans(suffixdedup.later_copies(df)) == later
-    assert spans(seedextend.repeats(df)) == every
-
-
-def test_other_places(spark):
-    texts = corpus()
-    words = {d: t.split() for d, t in texts.items()}
+    assert rows_of(suffixdedup.later_copies(df)) == later
+    assert rows_of(seedextend.repeats(df)) == every
+
+
+def test_touching(spark):
+    df = table(spark, [row(d, t) for d, t in touching().items()])
+    assert rows_of(suffixdedup.later_copies(df)) == {(3, 5, 55, 2, 0), (3, 60, 70, 1, 0)}
+    assert rows_of(seedextend.repeats(df)) == {(3, 5, 55, 2, 0), (3, 60, 70, 1, 0), (1, 0, 70, 3, 60), (2, 0, 55, 3, 5)}
+
+
+def test_random_copies(spark, most):
+    """Texts put together of pieces of each other, with edits, so that first places change all along."""
+    rng = random.Random(5)
+    base = prose("base", 400).split()
+    texts = {}
+    for d in range(40):
+        words = list(base[(a := rng.randrange(300)) : a + rng.randrange(60, 300)])
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(9)}"
+        texts[d] = " ".join(words + texts.get(rng.randrange(60), "").split()[: rng.randrange(150)])
     df = table(spark, [row(d, t) for d, t in texts.items()])
-    for r in suffixdedup.later_copies(df).collect():
-        assert (r["first_doc_id"], r["first_start_word"]) < (r["doc_id"], r["start_word"])
-        mine = set(brute.runs_of(words[r["doc_id"]][r["start_word"] : r["start_word"] + r["n_words"]], 50))
-        assert mine & set(brute.runs_of(words[r["first_doc_id"]], 50))
-    for r in seedextend.repeats(df).collect():
-        mine = set(brute.runs_of(words[r["doc_id"]][r["start_word"] : r["start_word"] + r["n_words"]], 50))
-        assert mine & set(brute.runs_of(words[r["other_doc_id"]], 50))
+    later, every = brute.repeats(texts, anchors.LEAST)
+    assert rows_of(suffixdedup.later_copies(df)) == later
+    assert rows_of(seedextend.repeats(df)) == every
 
 
-def test_real_texts(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_real_texts(spark, sf):
+    """Every row, and so the words at both places, as brute force has it."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     later, every = brute.repeats(texts, anchors.LEAST)
-    assert spans(suffixdedup.later_copies(docs)) == later
-    assert spans(seedextend.repeats(docs)) == every
+    assert rows_of(suffixdedup.later_copies(docs)) == later
+    assert rows_of(seedextend.repeats(docs)) == every
+    words = {d: t.split() for d, t in texts.items()}
+    for d, s, n, o, t in later | every:
+        assert words[d][s : s + n] == words[o][t : t + n]
+
+
+def test_many_copies_of_a_passage(spark):
+    """Thousands of different texts around one passage, and thousands of equal ones: rows in proportion, no pairs."""
+    p = prose("p", 60)
+    some = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.format_string("own%d of %d ", F.col("id"), F.col("id") * 7), F.lit(p), F.format_string(" end%d", F.col("id"))).alias("text"))
+    equal = spark.range(6000, 9000).select(F.col("id").alias("doc_id"), F.lit(f"{prose('q', 80)}").alias("text"))
+    docs = some.unionByName(equal)
+    got = suffixdedup.later_copies(docs)
+    assert {(r["n"], r["m"], r["o"]) for r in got.groupBy("n_words", "first_doc_id").agg(F.count("*").alias("m")).selectExpr("n_words n", "m", "first_doc_id o").collect()} == {(60, 5999, 0), (80, 2999, 6000)}
+    assert seedextend.repeats(docs).count() == 9000
+
+
+def test_sql(spark):
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    want = sorted(con.execute(f"select doc_id, text, lang, source, n_chars from ({suffixdedup.ORACLE})").fetchall())
+    assert sorted(tuple(r) for r in queries.op3_longest_previous_factor(spark, "/root/testdata/sf0.01").collect()) == want
 
 
 def test_removal(spark):
@@ -84,20 +135,8 @@ def test_odd_removal(spark):
     out = suffixdedup.drop_later_copies(table(spark))
     assert out.count() == len(odd_rows())
     assert out.columns == table(spark).columns
-
-
-def test_query_removes(spark):
-    """The query gives whole documents, with the words of later copies gone and all others left."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    later, _ = brute.repeats(texts, anchors.LEAST)
-    gone = {}
-    for d, first, n in later:
-        gone.setdefault(d, set()).update(range(first, first + n))
-    want = {d: [w for i, w in enumerate((t or "").split()) if i not in gone.get(d, ())] for d, t in texts.items()}
-    out = queries.op3_longest_previous_factor(spark, "/root/testdata/sf0.001")
-    assert out.columns == docs.columns
-    assert {r["doc_id"]: r["text"].split() for r in out.collect()} == {d: w for d, w in want.items() if w or d not in gone}
+    again = table(spark, [row(1, prose(1, 60)), row(2, prose(1, 60) + " x")] * 2).withColumn("n_chars", F.lit("mine"))
+    assert [(r["doc_id"], r["n_chars"]) for r in suffixdedup.drop_later_copies(again).orderBy("doc_id").collect()] == [(1, "mine")] * 2 + [(2, "mine")] * 2
 
 
 def test_smaller():
