@@ -131,6 +131,8 @@ def _automaton(lexicon: tuple, exceptions: tuple):
 
 def hits(text: str, automaton) -> list[tuple[int, float]]:
     """Place and weight of each match in a folded text that no exception's match holds."""
+    if not len(automaton):
+        return []
     found, safe = [], []
     for end, (weight, n) in automaton.iter(text):
         (safe if weight is None else found).append((end - n, end, weight))
