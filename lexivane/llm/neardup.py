@@ -78,7 +78,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
 def chunk_keys(sig: np.ndarray, chunks: int = CHUNKS, errors: int = MAX_DISTANCE // CHUNKS) -> np.ndarray:
     """For each signature the keys under which it meets all others that differ in ``errors`` slots of some chunk at most.
 
-    A key is a chunk's slots but for some ``errors`` of them, together with which chunk and slots those are.
+    A key is a chunk's slots but for some ``errors`` of them, together with which chunk and slots those are; its low three bits name the chunk.
     """
     width = sig.shape[1] // chunks
     kept = list(combinations(range(width), width - errors))
@@ -89,12 +89,12 @@ def chunk_keys(sig: np.ndarray, chunks: int = CHUNKS, errors: int = MAX_DISTANCE
             k = np.full(len(sig), c * len(kept) + m + 1, np.uint64)
             for s in slots:
                 k = mix(k * np.uint64(0x10001) + part[:, s]) if len(slots) > 3 else k << np.uint64(16) | part[:, s]
-            out[:, c * len(kept) + m] = mix(k)
+            out[:, c * len(kept) + m] = mix(k) & ~np.uint64(7) | np.uint64(c)
     return out
 
 
 def _keys(reps: DataFrame, errors: int, under: bool) -> DataFrame:
-    """``k, rep`` of ``reps``, or, of those that come ``under`` a key ``k`` of their own, of these keys' parts. With ``root`` if there is one."""
+    """``k, rep`` of ``reps``, or, of those that come ``under`` a key ``k`` of their own, of that key's parts by the other chunks. With ``root`` if there is one."""
     extra = [c for c in ("root",) if c in reps.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +102,12 @@ def _keys(reps: DataFrame, errors: int, under: bool) -> DataFrame:
             for at in range(0, all_rows.num_rows, 4096):
                 b = all_rows.slice(at, 4096)
                 k = chunk_keys(_matrix(b.column(1)), errors=errors)
+                row = np.repeat(np.arange(len(k)), k.shape[1])
                 if under:
-                    k = mix(k ^ b.column(2).to_numpy().view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15))
-                row = pa.array(np.repeat(np.arange(len(k)), k.shape[1]))
+                    above = b.column(2).to_numpy().view(np.uint64)[:, None]
+                    other = ((k ^ above) & np.uint64(7) > 0).ravel()  # all agree in the chunk of the key above but for its errors
+                    k, row = mix(k ^ above * np.uint64(0x9E3779B97F4A7C15)).ravel()[other], row[other]
+                row = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), b.column(0).take(row), *(b.column(c).take(row) for c in extra)], ["k", "rep", *extra])
 
     return reps.select("rep", "sig", *(["k"] if under else []), *extra).mapInArrow(run, ", ".join(f"{c} bigint" for c in ("k", "rep", *extra)))
