@@ -238,7 +238,7 @@ def _scanned(docs: DataFrame, text_col: str, found: Iterator[Scanner], make: Cal
     One automaton goes over the documents as they pass. Several go over them in turn and leave their spans, which are then
     joined to the texts by a hash of these; so what is found doesn't depend on how the items were shared out.
     """
-    at, n = docs.columns.index(text_col), len(docs.columns)
+    at, n, names = docs.columns.index(text_col), len(docs.columns), list(docs.columns)
 
     def spans_of(scanner: Scanner, col: pa.Array) -> Spans:
         by: Spans = {}
@@ -282,7 +282,7 @@ def _scanned(docs: DataFrame, text_col: str, found: Iterator[Scanner], make: Cal
         for whole in batches:
             for b in slices(whole, at):
                 by = {d: maximal([tuple(x.values()) for x in s]) for d, s in enumerate(b.column(n).to_pylist()) if s}
-                yield from make(pa.RecordBatch.from_arrays(b.columns[:n], docs.columns), by)
+                yield from make(pa.RecordBatch.from_arrays(b.columns[:n], names), by)
 
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "_lv_spans").mapInArrow(after, schema)
 

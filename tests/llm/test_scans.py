@@ -67,7 +67,7 @@ def test_shards(spark, monkeypatch):
     items = [prose(i, 20) for i in range(6)]
     rows = [row(i, f"{prose(90 + i, 20)} {t} {prose(50 + i, 20)}") for i, t in enumerate(items)]
     want = sorted(map(str, decontaminate.find_leaks(table(spark, rows), bench(spark, *items)).collect()))
-    monkeypatch.setattr(decontaminate, "SHARD_CHARS", 10)
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 10)
     assert sorted(map(str, decontaminate.find_leaks(table(spark, rows), bench(spark, *items)).collect())) == want
     assert {r["text"] for r in decontaminate.remove_leaks(table(spark, rows), bench(spark, *items)).collect()} == {f"{prose(90 + i, 20)} {prose(50 + i, 20)}" for i in range(6)}
 
@@ -117,10 +117,10 @@ def test_spans_against_all_matches():
                 holding = [len(t) for t in items if any(t[k : k + n] == words[i : i + n] for k in range(len(t) - n + 1))]
                 if holding and (n >= most or n >= share * min(holding)):
                     want |= set(range(i, i + n))
-        scanner = decontaminate.Scanner.of([(i, np.array(t, np.uint64)) for i, t in enumerate(items)], most, share, least)
+        scanner = decontaminate.Scanner([(i, np.array(t, np.uint64)) for i, t in enumerate(items)], most, share, least)
         at = np.arange(len(words))
         found = scanner.spans(Words(at, at, np.array(words, np.uint64), np.array([0, len(words)])))
-        assert {k for _, first, n, _ in found for k in range(first, first + n)} == want
+        assert {k for _, first, n, *_ in found for k in range(first, first + n)} == want
 
 
 def test_windows_against_definition():
