@@ -15,10 +15,13 @@ def word_ids(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: Co
 
 
 def vectors(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: Column | str = "text") -> DataFrame:
-    """``<id_col>, encoded_data, norm2``: each document's word ids in text order and the sum of their squares; empty texts have no ids and 0."""
+    """``<id_col>, encoded_data, norm2``: each document's word ids in text order and the sum of their squares; empty texts have no ids and 0.
+
+    The sum is a double, so that no id is too large for it; it is exact below 2^53.
+    """
     words = docs.select(id_col, F.posexplode_outer(tokens(F.col(text) if isinstance(text, str) else text)).alias("pos", "word"))
     ids = words.join(vocab, "word", "left").withColumn("at", F.when(F.col("word_id").isNotNull(), F.struct("pos", "word_id")))
-    squares = F.coalesce(F.sum(F.col("word_id") * F.col("word_id")), F.lit(0).cast("bigint"))
+    squares = F.coalesce(F.sum(F.col("word_id").cast("double") * F.col("word_id")), F.lit(0.0))
     return ids.groupBy(id_col).agg(F.sort_array(F.collect_list("at"))["word_id"].alias("encoded_data"), squares.alias("norm2"))
 
 

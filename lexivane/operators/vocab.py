@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from lexivane.functions.text import tokens
 
-#: Bits of a place within a document in a packed (document, place).
-_PLACE = 24
-#: Documents to a chunk, within which ids are counted by themselves, are 2 to this power.
-_CHUNK = 12
+#: Places that a document may have, in a packed (document, place): as many as an array holds.
+_PLACES = 1 << 31
+#: Documents to a chunk, within which ids are counted by themselves.
+_CHUNK = 1 << 12
 
 
 def exploded(docs: DataFrame, id_col: str = "doc_id", text: Column | str = "text") -> DataFrame:
@@ -22,9 +22,10 @@ def exploded(docs: DataFrame, id_col: str = "doc_id", text: Column | str = "text
 def first_places(words: DataFrame, ord_col: str = "doc_id") -> DataFrame:
     """``word, first``: where each word first occurs, document and place packed into one number.
 
-    Combines before the shuffle, so a frequent word costs no more than a rare one. Places above 16 million fall together.
+    Combines before the shuffle, so a frequent word costs no more than a rare one. The number is a decimal that holds any
+    whole number of a document with any place in it, and still one that hash aggregation updates in place.
     """
-    at = F.col(ord_col).cast("bigint") * (1 << _PLACE) + F.least(F.col("pos"), F.lit((1 << _PLACE) - 1))
+    at = (F.col(ord_col).cast("decimal(19,0)") * F.lit(_PLACES).cast("decimal(10,0)") + F.col("pos")).cast("decimal(32,0)")
     return words.groupBy("word").agg(F.min(at).alias("first"))
 
 
@@ -33,8 +34,7 @@ def numbered(first: DataFrame, after: int = 0) -> DataFrame:
 
     Words are counted within chunks of documents side by side; only the chunks' totals come together in one task.
     """
-    chunk = F.shiftright("first", _PLACE + _CHUNK)
-    first = first.withColumn("chunk", chunk)
+    first = first.withColumn("chunk", F.expr(f"first div {_PLACES * _CHUNK}"))
     before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = first.groupBy("chunk").agg(F.count("*").alias("n")).select("chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = F.row_number().over(Window.partitionBy("chunk").orderBy("first", "word"))

@@ -129,8 +129,8 @@ class Engine:
         table, rows = read_json_table(self.spark, path)
         self.create_table(table.name, table.columns, table.primary_key)
         if "encoded_data" in table.columns:
-            squares = F.aggregate("encoded_data", F.lit(0).cast("bigint"), lambda s, x: s + x * x)
-            rows = rows.withColumn("encoded_data", F.col("encoded_data").cast("array<bigint>")).withColumn("norm2", F.coalesce(squares, F.lit(0)))
+            squares = F.aggregate("encoded_data", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+            rows = rows.withColumn("encoded_data", F.col("encoded_data").cast("array<bigint>")).withColumn("norm2", F.coalesce(squares, F.lit(0.0)))
         self.catalog.append(table.name, rows)
         return table
 
@@ -148,7 +148,7 @@ class Engine:
         parts = []
         for i, n in enumerate(names):
             rows = self.catalog.rows(n)
-            for c, kind in (("encoded_data", "array<bigint>"), ("norm2", "bigint")):
+            for c, kind in (("encoded_data", "array<bigint>"), ("norm2", "double")):
                 if c not in rows.columns:
                     rows = rows.withColumn(c, F.lit(None).cast(kind))
             key = self.catalog.get(n).primary_key
@@ -172,7 +172,7 @@ class Engine:
                 if new and persist_query_terms:
                     self._learn(self.spark.createDataFrame(new, "word string, word_id bigint"), f"{time.time_ns():020d}")
             if corpus is None or not ids:
-                empty = corpus if corpus is not None else self.spark.createDataFrame([], "id bigint, title string, content string, url string, encoded_data array<bigint>, table_name string, table_ord int, row_ord string, norm2 bigint")
+                empty = corpus if corpus is not None else self.spark.createDataFrame([], "id bigint, title string, content string, url string, encoded_data array<bigint>, table_name string, table_ord int, row_ord string, norm2 double")
                 return empty.where(F.lit(False)).withColumns({"score": F.lit(0.0), "rank": F.lit(0).cast("bigint")}).drop("table_ord", "row_ord", "norm2")
             with self._timed("similarity"):
                 best = similarity.top(similarity.scored(corpus, ids), k, "table_ord", "row_ord")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from lexivane.errors import InsertError, LoadError, RowError
 from lexivane.sources.storage import Folder
 
-_TYPES = {"id": T.LongType(), "encoded_data": T.ArrayType(T.LongType()), "norm2": T.LongType()}
+_TYPES = {"id": T.LongType(), "encoded_data": T.ArrayType(T.LongType()), "norm2": T.DoubleType()}
 _CHUNK = 4096
 #: A column that rows may bring along to be ordered by; it isn't stored.
 ORDER = "_lv_order"

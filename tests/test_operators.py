@@ -95,3 +95,20 @@ def test_top_k_moves_no_corpus(spark):
     df = spark.range(100).select(F.col("id").alias("doc_id"), F.rand(1).alias("score"))
     plan = similarity.top(df, 3, "doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_no_number_is_too_large(spark):
+    top = (1 << 63) - 1
+    rows = [(top, "b a"), (-5, "c b"), (top - 1, "d")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert as_dict(vocab.build(d)) == {"c": 1, "b": 2, "d": 3, "a": 4}
+    v = spark.createDataFrame([("a", 3_100_000_000), ("b", 1 << 62)], "word string, word_id bigint")
+    e = encode.vectors(docs(spark, "a a", "b a"), v)
+    got = as_dict(similarity.scored(e, [1 << 62, 3_100_000_000]).select("doc_id", "score"))
+    assert got[1] == pytest.approx(1)
+    assert 0 < got[0] <= 1
+
+
+def test_places_beyond_sixteen_million(spark):
+    words = spark.createDataFrame([(1, 1 << 25, "late"), (1, 1 << 24, "early"), (2, 0, "next")], "doc_id bigint, pos bigint, word string")
+    assert as_dict(vocab.numbered(vocab.first_places(words))) == {"early": 1, "late": 2, "next": 3}
