@@ -19,8 +19,8 @@ from lexivane.llm.wordhash import SPACED, mix, words
 LENGTH, NEIGHBOURS = 2048, 4
 #: Bins of a sketch, of which so many also bring documents together; the least likeness of neighbours (Jaccard, in ten thousandths).
 BINS, SLOTS, LEAST_ALIKE = 128, 32, 600
-#: Sketches that share a slot are compared all with all in blocks of so many, in an order that keeps like together.
-BLOCK = 2048
+#: Nodes that share a slot are compared all with all: up to FEW pair by pair, more of them with BLOCK at a time, and over PART in several tasks.
+FEW, BLOCK, PART = 64, 4096, 1 << 16
 #: Nodes to one walk: larger components are walked in parts, whose paths are then joined by walks over these.
 WALK, HOPS = 1_000_000, 3
 #: Documents to a lane, lanes at least, and steps of a path that stay in one lane. Lanes are filled side by side; windows go on from one to the next.
@@ -60,85 +60,168 @@ def _matrix(col: pa.Array, kind: str) -> np.ndarray:
     return data.view(kind).reshape(-1, BINS)
 
 
+def _number(bits: np.ndarray) -> np.ndarray:
+    """How many of each row of BINS truth values are set."""
+    return np.bitwise_count(np.packbits(bits, axis=1).view(np.uint64)).sum(1, dtype=np.int64)
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard similarity in ten thousandths that rows of sketches show: bins in which they agree, of those that either has."""
-    either = ((a > 0) | (b > 0)).sum(-1)
-    return ((a == b) & (a > 0)).sum(-1) * 10_000 // np.maximum(either, 1)
-
-
-def _nearest(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row the ``k`` others most alike, of equals those that come next, cyclically, if at least LEAST_ALIKE."""
-    n = len(s)
-    k = min(k, n - 1)
-    agree = np.zeros((n, n), np.uint8)
-    for c in range(BINS):
-        x = s[:, c]
-        agree += (x[:, None] == x[None, :]) & (x > 0)
+    return _number((a == b) & (a > 0)) * 10_000 // np.maximum(_number((a > 0) | (b > 0)), 1)
+
+
+def score(like: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """What a node's neighbours are ranked by: likeness, and of equals those that come next, cyclically; the same wherever two nodes meet."""
+    return (like.astype(np.int64) << 49) | (~(v - u).view(np.uint64) >> np.uint64(15)).view(np.int64)
+
+
+def _best(u: np.ndarray, v: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are the ``k`` of the greatest ``rank`` for their ``u``, a repeated pair once, and the place of each."""
+    order = np.lexsort((v, -rank, u))
+    new = np.ones(len(order), bool)
+    new[1:] = (u[order][1:] != u[order][:-1]) | (v[order][1:] != v[order][:-1])
+    order = order[new]
+    first = np.flatnonzero(np.concatenate([[True], u[order][1:] != u[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return order[place < k], place[place < k]
+
+
+def _few(s: np.ndarray, rep: np.ndarray, at: np.ndarray, size: np.ndarray, cut: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of small sets, each ``size`` rows from ``at`` on, all pairs at least LEAST_ALIKE, both ways: ``u, v, score``."""
+    row = np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())
+    others = np.repeat(at + size - 1, size) - row
+    end = np.cumsum(others)
+    for begin in range(0, int(end[-1]) if len(end) else 0, cut):
+        pair = np.arange(begin, min(begin + cut, int(end[-1])))
+        which = np.searchsorted(end, pair, "right")
+        i, j = row[which], row[which] + 1 + pair - (end - others)[which]
+        like = alike(s[i], s[j])
+        some = like >= LEAST_ALIKE
+        u, v, like = rep[i[some]], rep[j[some]], like[some]
+        yield np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([score(like, u, v), score(like, v, u)])
+
+
+def _nearest(s: np.ndarray, rep: np.ndarray, k: int, block: int, middle: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the ``k`` others of the highest score, if at least LEAST_ALIKE: ``u, v, score``.
+
+    All rows are compared with all, a few with ``block`` at a time; with ``middle``, those before it with those from it on.
+    """
+    n, high, few = len(s), len(s) if middle is None else middle, max(1, block // 32)
+    rank, who = np.full((n, k), (LEAST_ALIKE << 49) - 1, np.int64), np.zeros((n, k), np.int64)
     full = (s > 0).astype(np.float32)
-    count = full.sum(1).astype(np.int64)
-    like = agree.astype(np.int64) * 10_000 // np.maximum(count[:, None] + count - (full @ full.T).astype(np.int64), 1)
-    i = np.arange(n)
-    score = like * n - (i[None, :] - i[:, None]) % n
-    score[i, i] = -(1 << 40)
-    best = np.argpartition(score, n - k, axis=1)[:, n - k :] if k < n - 1 else np.array([[j for j in range(n) if j != r] for r in range(n)])
-    found = np.take_along_axis(like, best, 1).ravel()
-    some = found >= LEAST_ALIKE
-    return np.repeat(i, k)[some], best.ravel()[some], found[some]
+    count, columns = full.sum(1), np.ascontiguousarray(s.T)
+
+    def take(row: np.ndarray, other: np.ndarray, like: np.ndarray) -> None:
+        got = score(like, rep[row], rep[other])
+        some = got >= rank[row, -1]
+        row, other, got = row[some], rep[other[some]], got[some]
+        order, place = _best(row, other, got, k)
+        rows, at = np.unique(row[order], return_inverse=True)
+        both = np.full((len(rows), 2 * k), -1, np.int64)
+        name = np.zeros((len(rows), 2 * k), np.int64)
+        both[:, :k], name[:, :k] = rank[rows], who[rows]
+        both[at, k + place], name[at, k + place] = got[order], other[order]
+        order = np.lexsort((name, -both), axis=1)[:, :k]
+        rank[rows], who[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(name, order, 1)
+
+    def least(i: int, j: int) -> np.ndarray:
+        return np.maximum(rank[i:j, -1] >> 49, LEAST_ALIKE).astype(np.float32)
+
+    for x in range(0, high, few):
+        x2 = min(x + few, high)
+        for y in range(x if middle is None else middle, n, block):
+            y2 = min(y + block, n)
+            agree, same = np.zeros((x2 - x, y2 - y), np.uint8), np.empty((x2 - x, y2 - y), bool)
+            for c in columns:
+                np.equal(c[x:x2, None], c[None, y:y2], out=same)
+                np.add(agree, same.view(np.uint8), out=agree)
+            either = full[x:x2] @ full[y:y2].T
+            np.subtract(count[x:x2, None] + count[None, y:y2], either, out=either)
+            # bins that neither has were counted too; numbers are whole and small, so float32 is exact, and floors of its quotients are
+            like = agree + (either - np.float32(BINS))
+            like *= 10_000
+            like /= either
+            np.floor(like, out=like)
+            if x == y:
+                like[np.tril_indices(x2 - x)] = -1
+            found = (like >= least(x, x2)[:, None]) | (like >= least(y, y2)[None, :])
+            if k < min(like.shape) and np.count_nonzero(found) > 64 * len(like):
+                # the k-th here is no more than the k-th of all
+                by_row, by_column = np.partition(like, -k, axis=1)[:, -k], np.partition(like, -k, axis=0)[-k]
+                found = (like >= np.maximum(least(x, x2), by_row)[:, None]) | (like >= np.maximum(least(y, y2), by_column)[None, :])
+            i, j = np.nonzero(found)
+            got = like[i, j].astype(np.int64)
+            take(i + x, j + y, got)
+            take(j + y, i + x, got)
+    row, at = np.nonzero(rank >= LEAST_ALIKE << 49)
+    return rep[row], who[row, at], rank[row, at]
 
 
 def neighbours(nodes: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """For each of ``nodes`` (rep: bigint, sketch: binary, both distinct) the ``k`` most like it: ``u, v, alike``.
+    """For each of ``nodes`` (rep: bigint, sketch: binary; repeated rows are one) the ``k`` most like it: ``u, v, alike``.
 
     Bins are compared by 8 bits of their hashes, so of 255 that differ one is taken to agree. Nodes less alike than
-    LEAST_ALIKE are no neighbours. Nodes meet where they agree in any of SLOTS bins, by all bits. Up to BLOCK that share
-    a slot are compared all with all. More of them are put in order of their next bins and compared within
-    blocks that overlap by half, which keeps the work in proportion to their number; each of the slots has another order.
+    LEAST_ALIKE are no neighbours. Nodes meet where they agree in any of SLOTS bins, by all bits, and all that meet are compared.
+    Only names of nodes go to where they meet; what lies under several bins alike is compared once, and
+    sketches go only where there are others. Sets of over PART are parted, and each part compared with each, in tasks of their own.
     """
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for all_rows in batches:
             for at in range(0, all_rows.num_rows, 4096):
                 b = all_rows.slice(at, 4096)
-                m = _matrix(b.column(1), "<u4")
-                row, slot = np.nonzero(m[:, :SLOTS])
+                rep, first = np.unique(b.column(0).to_numpy(), return_index=True)
+                m = _matrix(b.column(1), "<u4")[first, :SLOTS]
+                row, slot = np.nonzero(m)
                 f = mix(m[row, slot].astype(np.uint64) << np.uint64(8) | slot.astype(np.uint64))
-                low = np.where(m > 0, 1 + (m >> 3) % 255, 0).astype(np.uint8)
-                data = pa.Array.from_buffers(pa.binary(BINS), len(row), [None, pa.py_buffer(np.ascontiguousarray(low[row]))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(slot.astype(np.int32)), data], ["f", "rep", "slot", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(rep[row])], ["f", "rep"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runs(batches):
+            f, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.concatenate([[True], (f[1:] != f[:-1]) | (rep[1:] != rep[:-1])])
+            f, rep = f[new], rep[new]
+            at = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+            size = np.diff(np.append(at, len(f)))
+            # sets that this takes for one would be compared as one, and lose nothing
+            name = mix(np.add.reduceat(mix(rep.view(np.uint64)), at) + size.astype(np.uint64)).view(np.int64)
+            met = np.repeat(size > 1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(rep[met]), pa.array(np.repeat(name, size)[met]), pa.array(np.repeat(size, size)[met])], ["rep", "f", "n"])
+
+    def bytes_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = _matrix(b.column(1), "<u4")
+            low = np.where(m > 0, 1 + (m >> 3) % 255, 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.Array.from_buffers(pa.binary(BINS), len(m), [None, pa.py_buffer(low)]).cast(pa.binary())], ["rep", "sketch"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs(batches):
-            f = b.column(0).to_numpy()
-            edge = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1], [True]]))
-            size = np.diff(edge)
-            if not (size > 1).any():
-                continue
-            rep, slot, s = b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), "u1")
-            us, vs, likes = [], [], []
-            two = edge[:-1][size == 2]
-            both = alike(s[two], s[two + 1])
-            two, both = two[both >= LEAST_ALIKE], both[both >= LEAST_ALIKE]
-            us += [rep[two], rep[two + 1]]
-            vs += [rep[two + 1], rep[two]]
-            likes += [both, both]
-            for at, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                part, who = s[at : at + n], rep[at : at + n]
-                if n > BLOCK:
-                    turned = np.ascontiguousarray(np.roll(part, -int(slot[at]) - 1, axis=1))
-                    order = np.argsort(turned.view(f"S{BINS}").ravel(), kind="stable")
-                    part, who = part[order], who[order]
-                for start in range(0, max(1, n - BLOCK // 2), BLOCK // 2):
-                    stop = min(n, start + BLOCK)
-                    i, j, a = _nearest(part[start:stop], k)
-                    us.append(who[start:stop][i])
-                    vs.append(who[start:stop][j])
-                    likes.append(a)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs)), pa.array(np.concatenate(likes).astype(np.int32))], ["u", "v", "alike"])
-
-    by_slot = nodes.where(F.length("sketch") > 0).select("rep", "sketch").mapInArrow(slots, "f bigint, rep bigint, slot int, sketch binary")
-    found = by_slot.repartition("f").sortWithinPartitions("f", "rep").mapInArrow(meet, "u bigint, v bigint, alike int")
-    best = Window.partitionBy("u").orderBy(F.desc("alike"), F.xxhash64("u", "v"), "v")
-    return found.distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("u", "v", "alike")
+            f, part, rep, s = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), "u1")
+            at = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+            size = np.diff(np.append(at, len(f)))
+            two = part[at] != part[at + size - 1]
+            few = (size <= FEW) & ~two
+            found = list(_few(s, rep, at[few], size[few]))
+            for i, n, parted in zip(at[~few].tolist(), size[~few].tolist(), two[~few].tolist(), strict=True):
+                middle = int(np.searchsorted(part[i : i + n], part[i], "right")) if parted else None
+                found.append(_nearest(s[i : i + n], rep[i : i + n], k, BLOCK, middle))
+            if found:
+                u, v, rank = (np.concatenate(x) for x in zip(*found, strict=True))
+                best, _ = _best(u, v, rank, k)
+                yield pa.RecordBatch.from_arrays([pa.array(x[best]) for x in (u, v, rank)], ["u", "v", "rank"])
+
+    some = nodes.where(F.length("sketch") > 0).select("rep", "sketch")
+    met = some.mapInArrow(slots, "f bigint, rep bigint").repartition("f").sortWithinPartitions("f", "rep").mapInArrow(sets, "rep bigint, f bigint, n bigint").repartition("rep").distinct()
+    low = some.mapInArrow(bytes_, "rep bigint, sketch binary").repartition("rep").dropDuplicates(["rep"])
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    part = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    # a set of p parts is under a key for each two of them, and each part with itself; a node is in p of these
+    others = F.when(F.col("n") > PART, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    there = met.join(low, "rep").select("f", "n", F.when(F.col("n") > PART, part).otherwise(F.lit(0)).alias("part"), "rep", "sketch", F.explode(others).alias("other"))
+    key = F.when(F.col("n") > PART, F.xxhash64("f", F.least("part", "other"), F.greatest("part", "other"))).otherwise(F.col("f"))
+    found = there.select(key.alias("f"), "part", "rep", "sketch").repartition("f").sortWithinPartitions("f", "part", "rep").mapInArrow(meet, "u bigint, v bigint, rank bigint")
+    best = Window.partitionBy("u").orderBy(F.desc("rank"), "v")
+    return found.distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("u", "v", F.shiftright("rank", 49).cast("int").alias("alike"))
 
 
 def walk(a: np.ndarray, b: np.ndarray, u: np.ndarray, v: np.ndarray, like: np.ndarray) -> list[list[tuple[int, bool]]]:

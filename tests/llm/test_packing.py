@@ -115,6 +115,66 @@ def test_recall_of_a_hot_slot(spark, monkeypatch):
     assert near >= 0.9
 
 
+def nearest_of(m, reps):
+    """Of every node the likenesses of its nearest among all that share a bin with it, and these, by comparing all with all."""
+    low = np.where(m > 0, 1 + (m >> 3) % 255, 0).astype(np.uint8)
+    out = {}
+    for i, u in enumerate(reps):
+        met = ((m[:, : packing.SLOTS] == m[i, : packing.SLOTS]) & (m[:, : packing.SLOTS] > 0)).any(1)
+        like = packing.alike(low, np.broadcast_to(low[i], low.shape))
+        some = [j for j in np.flatnonzero(met & (like >= packing.LEAST_ALIKE)).tolist() if j != i]
+        best = sorted(some, key=lambda j: (-like[j], ((reps[j] - u) % 2**64) >> 15, reps[j]))[: packing.NEIGHBOURS]
+        if best:
+            out[u] = [(int(like[j]), reps[j]) for j in best]
+    return out
+
+
+def neighbours_of(spark, docs):
+    """What the graph has, and what it has to have, likewise."""
+    sk = packing.sketches(spark.createDataFrame(docs, "doc_id bigint, text string")).where("length(sketch) > 0")
+    nodes = durable(sk.groupBy("sketch").agg(F.min("key").alias("rep")).select("rep", "sketch"), "nodes")
+    got = {}
+    for e in packing.neighbours(nodes).collect():
+        got.setdefault(e["u"], []).append((e["alike"], e["v"]))
+    rows = nodes.collect()
+    return got, nearest_of(np.stack([np.frombuffer(bytes(r["sketch"]), "<u4") for r in rows]), [r["rep"] for r in rows])
+
+
+def hot(n):
+    """Documents with boilerplate in common, in threes that are more alike, a few short."""
+    same = prose("same", 60)
+    return [(i, f"{same} {prose(i // 3, 100 if i % 7 else 3, 10**6)} {prose(10_000 + i, 20, 10**6)}") for i in range(n)]
+
+
+def test_hot_slots_lose_no_partner(spark, monkeypatch):
+    """Where far more nodes share a bin than are compared at once, each still has its nearest of all of them."""
+    monkeypatch.setattr(packing, "BLOCK", 128)
+    got, want = neighbours_of(spark, hot(900))
+    assert {u: sorted((a for a, _ in x), reverse=True) for u, x in got.items()} == {u: [a for a, _ in x] for u, x in want.items()}
+
+
+def test_parted_sets_lose_no_partner(spark, monkeypatch):
+    """Sets compared in several tasks, and small ones, pair by pair or not: the same neighbours, those of equals that come next too."""
+    docs = hot(500) + [(1000 + i, prose(f"{i // 5}", 40 + i % 5, 10**6)) for i in range(100)]
+    for few, block, part in ((64, 4096, 1 << 16), (2, 50, 90), (1000, 4096, 1 << 16)):
+        for name, value in (("FEW", few), ("BLOCK", block), ("PART", part)):
+            monkeypatch.setattr(packing, name, value)
+        got, want = neighbours_of(spark, docs)
+        assert {u: sorted(x) for u, x in got.items()} == {u: sorted(x) for u, x in want.items()}
+
+
+def test_equally_alike(spark):
+    """Of many that are equally alike the nearest are those that come next, whatever sets they meet in."""
+    n, k = 300, packing.NEIGHBOURS
+    rng = np.random.default_rng(3)
+    rep = np.sort(rng.integers(-(2**63), 2**63 - 1, n))
+    s = np.zeros((n, packing.BINS), np.uint8)
+    s[:, 0], s[:, 1] = 7, np.arange(n) % 255 + 1
+    u, v, _ = packing._nearest(s[:255], rep[:255], k, 64)
+    assert {(a, b) for a, b in zip(u.tolist(), v.tolist(), strict=True)} == {(int(rep[i]), int(rep[(i + j) % 255])) for i in range(255) for j in range(1, k + 1)}
+    assert [x.tolist() for x in packing._nearest(s[:1], rep[:1], k, 64)] == [[], [], []]
+
+
 def chains(u, v, w):
     nodes = np.unique(u)
     return [[int(nodes[c]) for c, _ in p] for p in packing.walk(nodes, nodes, u, v, w)]
