@@ -364,16 +364,17 @@ def pack_related(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id stays null. Of an empty table no window comes. The order is the same however the data are partitioned.
     """
     sk = durable(sketches(docs, id_col, text_col), "sketches")
-    nodes = durable(sk.groupBy(F.when(F.length("sketch") > 0, F.col("sketch")).alias("sketch"), F.when(F.length("sketch") == 0, F.col("key")).alias("own")).agg(F.min("key").alias("rep")).select("rep", F.coalesce("sketch", F.lit(b"")).alias("sketch")), "nodes")
-    edges = durable(neighbours(nodes, k), "neighbours")
+    # a node's name is a hash of its sketch, so that documents need not be brought together to be named
+    some = F.length("sketch") > 0
+    at = sk.select("key", "doc_id", "n_tokens", F.when(some, F.xxhash64("sketch")).otherwise(F.col("key")).alias("rep"))
+    edges = durable(neighbours(sk.where(some).select(F.xxhash64("sketch").alias("rep"), "sketch"), k), "neighbours")
     paths = _paths(edges)
-    at = sk.where(F.length("sketch") > 0).join(nodes.where(F.length("sketch") > 0), "sketch").select("key", "doc_id", "n_tokens", "rep").unionByName(sk.where(F.length("sketch") == 0).select("key", "doc_id", "n_tokens", F.col("key").alias("rep")))
     placed = at.join(paths, "rep", "left").select("key", "doc_id", "n_tokens", F.coalesce("path", "rep").alias("path"), F.coalesce("step", F.lit(0)).alias("step"), "rep")
     lanes = max(LANES, sk.count() // LANE)
     placed = placed.withColumn("lane", F.pmod(F.xxhash64("path", F.floor(F.col("step") / STEPS)), F.lit(lanes)))
     in_lane = Window.partitionBy("lane").orderBy("path", "step", "rep", F.col("doc_id").asc_nulls_last(), "key").rowsBetween(Window.unboundedPreceding, 0)
     placed = durable(placed.withColumn("stop", F.sum("n_tokens").over(in_lane)), "placed")
-    forget(sk, nodes, edges, paths)
+    forget(sk, edges, paths)
     before = Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)  # over a row to each lane
     base = placed.groupBy("lane").agg(F.sum("n_tokens").alias("total")).withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0))).select("lane", "base")
     placed = placed.join(F.broadcast(base), "lane").withColumn("stop", F.col("base") + F.col("stop")).withColumn("start", F.col("stop") - F.col("n_tokens"))
