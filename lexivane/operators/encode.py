@@ -14,15 +14,32 @@ def word_ids(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: Co
     return exploded(docs, id_col, text).join(vocab, "word").select(id_col, "pos", "word_id")
 
 
+def _squares(vector: Column | str) -> Column:
+    """The sum of a vector's squares as a bigint, null where that is too small for it."""
+    return F.aggregate(vector, F.lit(0).cast("bigint"), lambda s, x: F.try_add(s, F.try_multiply(x, x)))
+
+
+def norm2(vector: Column | str) -> Column:
+    """The sum of a vector's squares as a double: the one nearest the exact sum where a bigint holds that, so that no id is too large."""
+    rough = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return F.coalesce(_squares(vector).cast("double"), rough)
+
+
+def lengths(encoded: DataFrame, id_col: str = "doc_id", vector: str = "encoded_data") -> DataFrame:
+    """``<id_col>, n, norm2``: how many ids each vector has and the exact sum of their squares; one that no bigint holds is an error."""
+    exact = F.coalesce(_squares(vector), F.raise_error(F.lit("a sum of squares is too large for a bigint")).cast("bigint"))
+    return encoded.select(id_col, F.size(vector).cast("bigint").alias("n"), exact.alias("norm2"))
+
+
 def vectors(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text: Column | str = "text") -> DataFrame:
     """``<id_col>, encoded_data, norm2``: each document's word ids in text order and the sum of their squares; empty texts have no ids and 0.
 
-    The sum is a double, so that no id is too large for it; it is exact below 2^53.
+    The sum is a double, as ``norm2`` gives it.
     """
     words = docs.select(id_col, F.posexplode_outer(tokens(F.col(text) if isinstance(text, str) else text)).alias("pos", "word"))
     ids = words.join(vocab, "word", "left").withColumn("at", F.when(F.col("word_id").isNotNull(), F.struct("pos", "word_id")))
-    squares = F.coalesce(F.sum(F.col("word_id").cast("double") * F.col("word_id")), F.lit(0.0))
-    return ids.groupBy(id_col).agg(F.sort_array(F.collect_list("at"))["word_id"].alias("encoded_data"), squares.alias("norm2"))
+    made = ids.groupBy(id_col).agg(F.sort_array(F.collect_list("at"))["word_id"].alias("encoded_data"))
+    return made.withColumn("norm2", norm2("encoded_data"))
 
 
 def decode(encoded: DataFrame, vocab: DataFrame, id_col: str = "doc_id", vector: str = "encoded_data") -> DataFrame:

@@ -38,13 +38,15 @@ def cosine(query: list[int], vector: Column, norm2: Column) -> Column:
     """Cosine with a query, the shorter of the two filled up with zeros; 0 if either is empty or missing.
 
     Places past the query's end add nothing to the product, so only a prefix of each vector is looked at;
-    ``norm2`` has the rest. Sums are doubles, exact below 2^53, so that they can't overflow.
+    ``norm2`` has the rest. The product is exact where a bigint holds it, and else a sum of doubles, which can't overflow.
     """
     if not query:
         return F.lit(0.0)
     q = F.array(*[F.lit(x).cast("bigint") for x in query])
-    products = F.zip_with(F.slice(vector, 1, len(query)), q, lambda a, b: F.coalesce(a.cast("double") * b, F.lit(0.0)))
-    dot = F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+    prefix, zero = F.slice(vector, 1, len(query)), F.lit(0).cast("bigint")
+    exact = F.aggregate(F.zip_with(prefix, q, lambda a, b: F.try_multiply(F.coalesce(a, zero), b)), zero, lambda s, x: F.try_add(s, x))
+    rough = F.aggregate(F.zip_with(prefix, q, lambda a, b: F.coalesce(a.cast("double") * b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    dot = F.coalesce(exact.cast("double"), rough)
     length = F.lit(math.sqrt(sum(x * x for x in query)))
     return F.when(F.coalesce(norm2, F.lit(0)) > 0, dot / (length * F.sqrt(norm2.cast("double")))).otherwise(F.lit(0.0))
 

@@ -109,7 +109,7 @@ def encode_documents(spark, sf_dir):
 
 @query(f"WITH {_ENC} SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(norm2, 0) AS norm2 FROM documents d LEFT JOIN norm USING (doc_id)")
 def encode_lengths(spark, sf_dir):
-    return _encoded(spark, sf_dir)[0].select("doc_id", F.size("encoded_data").cast("bigint").alias("n"), F.col("norm2").cast("bigint").alias("norm2"))
+    return encode.lengths(_encoded(spark, sf_dir)[0])
 
 
 @query(f"WITH {_TOKENS} SELECT d.doc_id, coalesce(string_agg(word, ' ' ORDER BY pos), '') AS text FROM documents d LEFT JOIN tok USING (doc_id) GROUP BY d.doc_id")

@@ -129,8 +129,7 @@ class Engine:
         table, rows = read_json_table(self.spark, path)
         self.create_table(table.name, table.columns, table.primary_key)
         if "encoded_data" in table.columns:
-            squares = F.aggregate("encoded_data", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-            rows = rows.withColumn("encoded_data", F.col("encoded_data").cast("array<bigint>")).withColumn("norm2", F.coalesce(squares, F.lit(0.0)))
+            rows = rows.withColumn("encoded_data", F.col("encoded_data").cast("array<bigint>")).withColumn("norm2", F.coalesce(encode.norm2("encoded_data"), F.lit(0.0)))
         self.catalog.append(table.name, rows)
         return table
 

@@ -112,3 +112,11 @@ def test_no_number_is_too_large(spark):
 def test_places_beyond_sixteen_million(spark):
     words = spark.createDataFrame([(1, 1 << 25, "late"), (1, 1 << 24, "early"), (2, 0, "next")], "doc_id bigint, pos bigint, word string")
     assert as_dict(vocab.numbered(vocab.first_places(words))) == {"early": 1, "late": 2, "next": 3}
+
+
+def test_sums_beyond_doubles_are_exact(spark):
+    v = spark.createDataFrame([("a", 94_906_267), ("b", 1)], "word string, word_id bigint")
+    e = encode.vectors(docs(spark, "a b", "a " * 900 + "b", ""), v)
+    want = [94_906_267**2 + 1, 900 * 94_906_267**2 + 1, 0]
+    assert as_dict(encode.lengths(e).select("doc_id", "norm2")) == dict(enumerate(want))
+    assert as_dict(e.select("doc_id", "norm2")) == {i: float(x) for i, x in enumerate(want)}
