@@ -1,13 +1,15 @@
 import sys
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexivane.functions import text as t
-from lexivane.functions.html import article
+from lexivane.functions.batches import slices
+from lexivane.functions.html import article, extract_articles
 
 
 def one(spark, value, f, kind="string"):
@@ -87,3 +89,19 @@ def test_article(html, want):
 
 def test_deep_page():
     assert article("<div>" * 5000 + "<p>x</p>") == "x"
+
+
+def test_batches_are_cut_by_bytes():
+    texts = ["x" * n for n in (10, 3000, 5, 5, 0, 2000, 2000, 2000, 1)]
+    parts = list(slices(pa.RecordBatch.from_pydict({"t": texts}), 1000))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.nbytes <= 2000 for p in parts)
+    assert not list(slices(pa.RecordBatch.from_pydict({"t": pa.array([], pa.string())})))
+
+
+def test_python_gets_few_pages_at_a_time(spark):
+    html = "<article><p>" + "x" * 50_000 + "</article>"
+    pages = spark.range(0, 600, 1, 1).select(F.col("id").alias("page_id"), F.lit(html).alias("html"))
+    assert extract_articles(pages).where("length(content) = 50000").count() == 600
+    size = lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs)
+    assert max(r["n"] for r in pages.mapInArrow(size, "n bigint").collect()) < 8 << 20
