@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexivane.errors import RowError
-from lexivane.operators import encode, similarity, vocab
+from lexivane.operators import encode, lookup, similarity, vocab
 
 
 def docs(spark, *texts):
@@ -120,3 +120,23 @@ def test_sums_beyond_doubles_are_exact(spark):
     want = [94_906_267**2 + 1, 900 * 94_906_267**2 + 1, 0]
     assert as_dict(encode.lengths(e).select("doc_id", "norm2")) == dict(enumerate(want))
     assert as_dict(e.select("doc_id", "norm2")) == {i: float(x) for i, x in enumerate(want)}
+
+
+@pytest.mark.parametrize("common", [0, 2, 1 << 17])
+def test_rare_words_come_back_to_their_places(spark, monkeypatch, common):
+    monkeypatch.setattr(lookup, "COMMON", common)
+    texts = ["a b a", "c b", "", None, "B d\nd e", "a b a"]
+    d = spark.createDataFrame([(i if i < 5 else None, x) for i, x in enumerate(texts)] + [(0, "e c e"), (1, "c b")], "doc_id bigint, text string").repartition(3)
+    v = spark.createDataFrame([(w, i + 1) for i, w in enumerate("abcd")], "word string, word_id bigint")
+    got = sorted(((r[0], r[1]) for r in encode.vectors(d, v).select("doc_id", "encoded_data").collect()), key=str)
+    assert got == sorted([(0, [1, 2, 1]), (1, [3, 2]), (2, []), (3, []), (4, [2, 4, 4]), (None, [1, 2, 1]), (0, [3]), (1, [3, 2])], key=str)
+    odd = spark.createDataFrame([(1, [1, 99, 4]), (2, []), (3, None), (4, [3, None])], "doc_id bigint, encoded_data array<bigint>")
+    assert as_dict(encode.decode(odd, v)) == {1: "a  d", 2: "", 3: "", 4: "c "}
+
+
+def test_tokens_arent_exploded_before_shuffles(spark):
+    d = docs(spark, "a b c")
+    v = vocab.build(d).persist()
+    plan = encode.decode(encode.vectors(d, v), v)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan.split("InMemoryRelation")[0]
+    assert as_dict(encode.decode(encode.vectors(d, v), v)) == {0: "a b c"}
