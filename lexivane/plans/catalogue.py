@@ -165,12 +165,18 @@ def search_unseen_terms(spark, sf_dir):
     return _ranked(_scored(spark, sf_dir, UNSEEN), 5, "doc_id").select("rank", "doc_id", "score")
 
 
+#: Row ids that a table has room for in the ids of ``_all_tables``, and the tables.
+_TABLE, _TABLES = 1 << 60, ("benchmark", "conversations", "documents")
+
+
 def _all_tables(spark, sf_dir) -> DataFrame:
-    """Rows of three tables as one corpus; doc_id carries the table in its high bits, so words are learned table by table."""
-    parts = (("benchmark", F.col("item_id")), ("conversations", F.col("conv_id") * 1000 + F.col("turn")), ("documents", F.col("doc_id")))
-    dfs = [table(spark, sf_dir, n).select(F.lit(n).alias("table_name"), F.lit(i).alias("table_ord"), k.alias("row_id"), "text") for i, (n, k) in enumerate(parts)]
-    both = dfs[0].unionByName(dfs[1]).unionByName(dfs[2])
-    return both.withColumn("doc_id", F.col("table_ord").cast("bigint") * (1 << 34) + F.col("row_id")).repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    """Rows of three tables as one corpus; doc_id carries the table in its high bits, so words are learned table by table.
+
+    It puts rows in the order of tables and of their ids, and says both: ids are within 2^59 of 0.
+    """
+    parts = zip(_TABLES, (F.col("item_id"), F.col("conv_id") * 1000 + F.col("turn"), F.col("doc_id")), strict=True)
+    dfs = [table(spark, sf_dir, n, "doc_id" if n == "documents" else None).select((F.lit(i * _TABLE) + k).alias("doc_id"), "text") for i, (n, k) in enumerate(parts)]
+    return dfs[0].unionByName(dfs[1]).unionByName(dfs[2])
 
 
 @query(
@@ -183,8 +189,10 @@ def search_all_tables(spark, sf_dir):
     rows = _all_tables(spark, sf_dir)
     words = vocab.build(rows).persist()
     ids, _ = similarity.query_ids(similarity.query_words(spark, QUERY), words)
-    scored = similarity.scored(encode.vectors(rows, words), ids).select("doc_id", "score").join(rows.drop("text"), "doc_id")
-    return _ranked(scored, 10, "table_ord", "row_id").select("rank", "table_name", "row_id", "score")
+    best = _ranked(similarity.scored(encode.vectors(rows, words), ids).select("doc_id", "score"), 10, "doc_id")
+    at = F.shiftright(F.col("doc_id") + _TABLE // 2, 60)
+    name = F.element_at(F.array(*[F.lit(n) for n in _TABLES]), (at + 1).cast("int"))
+    return best.select("rank", name.alias("table_name"), (F.col("doc_id") - at * _TABLE).alias("row_id"), "score")
 
 
 @query("SELECT CAST(1 AS BIGINT) AS rank, doc_id, CAST(0 AS DOUBLE) AS score FROM documents WHERE false")

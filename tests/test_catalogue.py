@@ -38,3 +38,14 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 5
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_all_tables_keep_large_ids_apart(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("create table benchmark as select 7::bigint item_id, 'thion erthing reen' as text")
+    con.execute("create table conversations as select 17179869::bigint conv_id, 189::bigint turn, 'user' as role, 'onthe thation' as text")
+    con.execute("create table documents as select 5::bigint doc_id, 'thion x' as text union all select 6, 'erthing onthe thion'")
+    for t in ("benchmark", "conversations", "documents"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    got = catalogue.QUERIES["search_all_tables"](spark, str(tmp_path)).toPandas()
+    assert values(got) == values(con.execute(catalogue.ORACLE_SQL["search_all_tables"]).df())
